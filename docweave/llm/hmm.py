@@ -65,11 +65,17 @@ class Lexicon:
     """The bounded part of the counts: totals, and the most frequent words' hashes, counts and symbols."""
 
     def __init__(self, counts: DataFrame, head: int, lookup: int):
-        top = counts.where("shape >= 0").orderBy(F.desc("c"), "h").limit(lookup)
-        got = top.toPandas() if counts.head(1) else None
-        h = got["h"].to_numpy(np.int64) if got is not None else np.zeros(0, np.int64)
-        c = got["c"].to_numpy(np.int64) if got is not None else np.zeros(0, np.int64)
-        shape = got["shape"].to_numpy(np.int64) if got is not None else np.zeros(0, np.int64)
+        words = counts.where("shape >= 0")
+        # the smallest count, in steps of a 64th of a power of e, that at most ``lookup`` words reach
+        level = F.floor(F.log("c") * 64)
+        least = None
+        for r in words.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+            lookup -= r["count"]
+            if lookup < 0:
+                break
+            least = r["level"]
+        got = words.where(level >= least if least is not None else F.lit(False)).orderBy(F.desc("c"), "h").toPandas()
+        h, c, shape = (got[k].to_numpy(np.int64) for k in ("h", "c", "shape"))
         self.head = min(head, len(h))
         symbol = np.where(np.arange(len(h)) < self.head, np.arange(len(h)), self.head + shape)
         total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.expr("if(shape < 0, c, 0)")).alias("ends")).first()

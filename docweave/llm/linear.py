@@ -114,3 +114,21 @@ def scores(docs: DataFrame, models: list[tuple[np.ndarray, float]]) -> DataFrame
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], flat, pa.array(words.astype(np.int64))], ["doc_id", "p", "n_words"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, p array<double>, n_words long")
+
+
+def keep(docs: DataFrame, model: tuple[np.ndarray, float], least: float) -> DataFrame:
+    """The rows whose text scores ``least`` or more, whole and without a shuffle."""
+    tune(docs.sparkSession)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            data, offs = kernel.column_bytes(b.column(at))
+            w, bias = shared.value
+            good = np.zeros(b.num_rows, bool)
+            for i, j in kernel.blocks(offs):
+                owner, bucket, value, _ = features(data, offs[i : j + 1])
+                good[i:j] = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w[bucket] * value, j - i) + bias, -35, 35))) >= least
+            yield b.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

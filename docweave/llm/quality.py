@@ -33,6 +33,5 @@ def score(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT) -> DataF
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
-    """The documents that are predicted to be good; columns stay. Needs unique doc_id."""
-    good = score(docs, labels, keep_at).where("predicted = 1").select(F.col("doc_id").alias("_kept"))
-    return docs.join(good, docs.doc_id == F.col("_kept"), "left_semi")
+    """The documents that are predicted to be good; columns stay."""
+    return linear.keep(docs, fit(docs, labels), keep_at)
