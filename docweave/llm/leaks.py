@@ -1,9 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Texts become hashed words (lower case, runs of letters and digits, punctuation left out). Passages of ``2 * STEP`` words make a TF-IDF matrix whose leading right
-singular vectors come from a randomised SVD: tasks sum ``X'X W`` for a random ``W``, the driver orthonormalises the small
-result, and a second sweep gives the ``Gram`` matrix that turns it into singular vectors. Windows of every text, two sizes
-at a stride of ``STEP`` words, are compared with the benchmark's passages by cosine in that latent space; what reaches ``COSINE``
+singular vectors come from a single-pass randomised SVD: tasks sum ``Z = X'X W`` for a random ``W``, and the driver gets the
+vectors of ``X'X`` from its Nystrom form ``Z (W'Z)^-1 Z'``. Windows of every text, three sizes at a stride of ``STEP`` words, are compared with the benchmark's passages by cosine in that latent space; what reaches ``COSINE``
 is confirmed by the longest common subsequence of words (``COVER`` of the item's words) and by the answer check (half of the
 item's ``ANSWERS`` rarest words occur near by).
 
@@ -22,8 +21,8 @@ from pyspark.sql import functions as F
 from docweave.llm import kernel
 from docweave.llm.scratch import materialise, tune
 
-BUCKETS, RANK, EXTRA, STEP, SIZES = 4096, 40, 8, 12, (24, 48)
-COSINE, SHARE, COVER, ANSWERS, LEAST, ITEMS = 0.45, 0.35, 0.6, 5, 5, 4096
+BUCKETS, RANK, EXTRA, STEP, SIZES = 4096, 32, 8, 12, (24, 36, 48)
+COSINE, SHARE, COVER, ANSWERS, LEAST, ITEMS = 0.6, 0.35, 0.6, 5, 5, 4096
 MASK = np.uint16(BUCKETS - 1)
 LETTERS = (kernel.CLASS == 1).astype(np.uint8)
 
@@ -85,7 +84,9 @@ def _spectrum(ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             start, _ = _pieces(offs, size)
             if len(start):
                 piece = np.repeat(np.arange(len(start)), np.diff(np.concatenate((start, [len(words)]))))
-                key = np.unique(piece << 12 | (words & MASK))
+                key = piece.astype(np.int32) << 12 | (words & MASK)
+                key.sort()
+                key = key[np.concatenate(([True], key[1:] != key[:-1]))]
                 total[:-1] += np.bincount(key & (BUCKETS - 1), minlength=BUCKETS)
                 total[-1] += len(start)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["x"])
@@ -94,40 +95,43 @@ def _spectrum(ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     got = np.zeros(BUCKETS + 1) if got is None else got
     idf = np.log((got[-1] + 1) / (got[:-1] + 1)) + 1e-3
     width = RANK + EXTRA
+    start = np.random.default_rng(17).normal(size=(BUCKETS, width))
+    shared = spark.sparkContext.broadcast(np.vstack((idf[:, None] * start, np.zeros((1, width)))).astype(np.float32))
+
+    def sweep(batches):
+        total = np.zeros((BUCKETS, width))
+        for _, _, _, words, offs in _blocks(batches, 1 << 18):
+            first, _ = _pieces(offs, size)
+            if not len(first):
+                continue
+            w = words & MASK
+            y = _sums(shared.value, w, first, size)
+            piece = np.repeat(np.arange(len(first)), np.diff(np.concatenate((first, [len(w)]))))
+            order = np.argsort(w, kind="stable")
+            ranked = w[order]
+            new = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+            total[ranked[new]] += np.add.reduceat(y[piece[order]], new, 0)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["x"])
 
-    def sweep(basis, gram: bool):
-        shared = spark.sparkContext.broadcast((idf[:, None] * basis).astype(np.float32))
-
-        def run(batches):
-            total = np.zeros((width, width) if gram else (BUCKETS, width))
-            for _, _, _, words, offs in _blocks(batches, 1 << 18):
-                start, _ = _pieces(offs, size)
-                if not len(start):
-                    continue
-                w = words & MASK
-                y = np.add.reduceat(shared.value[w], start, 0)
-                if gram:
-                    total += y.T.astype(np.float64) @ y
-                else:
-                    piece = np.repeat(np.arange(len(start)), np.diff(np.concatenate((start, [len(w)]))))
-                    order = np.argsort(w, kind="stable")
-                    ranked = w[order]
-                    new = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-                    total[ranked[new]] += np.add.reduceat(y[piece[order]], new, 0)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["x"])
+    z = _sum_up(ids.select("ids").mapInArrow(sweep, "x binary"))
+    z = start if z is None or not z.any() else idf[:, None] * z.reshape(BUCKETS, width)
+    core = start.T @ z
+    core = (core + core.T) / 2
+    low = max(np.linalg.eigvalsh(core).max(), 1e-12) * 1e-7
+    vector, value, _ = np.linalg.svd(np.linalg.solve(np.linalg.cholesky(core + low * np.eye(width)), z.T).T, full_matrices=False)
+    # singular values are flattened, so that common words don't decide alone
+    scale = 1 / np.maximum(value[:RANK], 1e-6 * max(value.max(), 1e-12))
+    return idf, (idf[:, None] * vector[:, :RANK] * scale).astype(np.float32)
 
-        return _sum_up(ids.select("ids").mapInArrow(run, "x binary"))
 
-    basis = np.random.default_rng(17).normal(size=(BUCKETS, width))
-    z = sweep(basis, False)
-    q = np.linalg.qr(idf[:, None] * z.reshape(BUCKETS, width) if z is not None else basis)[0]
-    g = sweep(q, True)
-    g = np.eye(width) if g is None else g.reshape(width, width)
-    value, vector = np.linalg.eigh(g)
-    keep = np.argsort(-value)[:RANK]
-    # singular values are flattened, so that common words don't decide alone
-    scale = 1 / np.sqrt(np.maximum(value[keep], 1e-9 * max(value.max(), 1e-12)))
-    return idf, (idf[:, None] * (q @ vector[:, keep]) * scale).astype(np.float32)
+def _sums(table: np.ndarray, words: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """For each piece of at most ``size`` words the sum of its words' rows of ``table``, whose last row is zero."""
+    n = np.diff(np.concatenate((first, [len(words)])))
+    padded = np.concatenate((words, np.zeros(size, words.dtype))).astype(np.int32)
+    total = np.zeros((len(first), table.shape[1]), np.float32)
+    for k in range(size):
+        total += table[np.where(k < n, padded[first + k], len(table) - 1)]
+    return total
 
 
 class Items:
@@ -136,7 +140,7 @@ class Items:
     def __init__(self, rows: list[tuple[int, np.ndarray]], idf: np.ndarray, basis: np.ndarray):
         self.id = [i for i, _ in rows]
         self.words = [w for _, w in rows]
-        self.basis = basis
+        self.basis = np.vstack((basis, np.zeros((1, basis.shape[1]), np.float32)))
         self.vectors, self.owner = {}, {}
         vectors, owner = {s: [] for s in SIZES}, {s: [] for s in SIZES}
         self.bag = np.zeros((len(rows), BUCKETS), bool)
@@ -148,9 +152,9 @@ class Items:
             self.kinds[k] = self.bag[k].sum()
             rare = np.unique(w)
             self.answer.append(set(rare[np.argsort(-idf[rare & MASK], kind="stable")][:ANSWERS].tolist()))
-            size = SIZES[0] if len(w) <= sum(SIZES) / 2 - STEP / 2 else SIZES[1]
-            for a in range(0, max(len(w) - SIZES[1] // 2, 1), SIZES[1]):
-                v = basis[f[a : a + SIZES[1]]].sum(0)
+            size = next((s for s in SIZES if len(w) <= s + STEP // 2), SIZES[-1])
+            for a in range(0, max(len(w) - SIZES[-1] // 2, 1), SIZES[-1]):
+                v = basis[f[a : a + SIZES[-1]]].sum(0)
                 vectors[size].append(v / max(np.linalg.norm(v), 1e-12))
                 owner[size].append(k)
         for s in SIZES:
@@ -180,7 +184,7 @@ def matches(words: np.ndarray, offs: np.ndarray, items: Items, cosine: float = C
     start, owner = _pieces(offs, STEP)
     if not len(start):
         return []
-    sums = np.add.reduceat(items.basis[words & MASK], start, 0)
+    sums = _sums(items.basis, words & MASK, start, STEP)
     found: dict[tuple[int, int], float] = {}
     tried: set[tuple[int, int, int]] = set()
     length = np.array([len(w) for w in items.words])
@@ -189,8 +193,7 @@ def matches(words: np.ndarray, offs: np.ndarray, items: Items, cosine: float = C
             continue
         v = sums.copy()
         for k in range(1, size // STEP):
-            same = owner[k:] == owner[:-k]
-            v[:-k][same] += sums[k:][same]
+            v[:-k] += sums[k:] * (owner[k:] == owner[:-k])[:, None]
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
         for a in range(0, len(v), 16384):
             row, col = np.nonzero(v[a : a + 16384] @ items.vectors[size].T >= cosine)
@@ -248,7 +251,7 @@ def search(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, cover:
     for r in asked.orderBy("doc_id", "ids").toLocalIterator():
         words = np.frombuffer(r["ids"], np.uint16)
         block.append((r["doc_id"], words))
-        held += 1 + len(words) // SIZES[1]
+        held += 1 + len(words) // SIZES[-1]
         if held >= ITEMS:
             out.append(sweep(block))
             block, held = [], 0
