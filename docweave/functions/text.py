@@ -134,7 +134,7 @@ def link_targets(c: Column) -> Column:
 
 
 def url_title(url: Column) -> Column:
-    last = F.element_at(F.filter(F.split(F.regexp_replace(F.regexp_replace(url, "[?#].*$", ""), "^[a-z]+://[^/]*", ""), "/"), lambda x: x != ""), -1)
+    last = F.try_element_at(F.filter(F.split(F.regexp_replace(F.regexp_replace(url, "[?#].*$", ""), "^[a-z]+://[^/]*", ""), "/"), lambda x: x != ""), F.lit(-1))
     return F.initcap(F.trim(F.regexp_replace(F.regexp_replace(last, r"\.[A-Za-z0-9]{1,5}$", ""), "[-_]+", " ")))
 
 

@@ -110,4 +110,4 @@ def parallel_arrays(df: DataFrame, by: list[str], order: str, columns: dict[str,
     """Groups with one array a column, all in the same order."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *[F.col(c).alias(k) for k, c in columns.items()])))
     got = df.groupBy(*by).agg(rows.alias("_rows"))
-    return got.select(*by, *[F.transform("_rows", lambda x, k=k: x[k]).alias(k) for k in columns])
+    return got.select(*by, *[F.col("_rows").getField(k).alias(k) for k in columns])
