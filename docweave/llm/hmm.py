@@ -132,8 +132,8 @@ def _encode(docs: DataFrame, lex: Lexicon) -> DataFrame:
                         b.column(1)[i:j],
                         pa.array(words + 1),
                         pa.array(n_known.astype(np.int64)),
-                        pa.array(base),
-                        pa.array(q),
+                        pa.array(base, pa.float64()),
+                        pa.array(q, pa.float64()),
                         pa.array([full[p:s].tobytes() for p, s in zip(cut, cut[1:])], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(lo), pa.array(lh)),
                         pa.ListArray.from_arrays(pa.array(lo), pa.array(ls)),

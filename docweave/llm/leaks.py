@@ -268,4 +268,4 @@ def search(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, cover:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark item was found; columns stay."""
     found = materialise(search(docs, benchmark), "leaks").select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs.doc_id == F.col("_found"), "left_anti")
+    return docs.join(found, docs["doc_id"] == found["_found"], "left_anti")

@@ -93,11 +93,11 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
 
 def with_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """Documents with a rate above zero, their columns, and ``rate``, ``domain`` and ``n_tokens``."""
+    """Documents with an id and a rate above zero, their columns, and ``rate``, ``domain`` and ``n_tokens``, which replace columns of these names."""
     rates = mix(docs, labels, targets).where("rate > 0")
     best = F.greatest(*[f"p_{d}" for d in DOMAINS])
     domain = F.coalesce(*[F.when(F.col(f"p_{d}") == best, F.lit(d)) for d in DOMAINS])
     rates = rates.select(F.col("doc_id").alias("_id"), "rate", domain.alias("domain"), "n_tokens")
     rates = rates.select("_id", *[F.col(c).alias(f"_mix_{c}") for c in ("rate", "domain", "n_tokens")])
     own = [c for c in docs.columns if c not in ("rate", "domain", "n_tokens")]
-    return docs.join(rates, docs.doc_id == F.col("_id")).select(*[docs[c] for c in own], *[F.col(f"_mix_{c}").alias(c) for c in ("rate", "domain", "n_tokens")])
+    return docs.join(rates, docs["doc_id"] == rates["_id"]).select(*[docs[c] for c in own], *[rates[f"_mix_{c}"].alias(c) for c in ("rate", "domain", "n_tokens")])

@@ -146,8 +146,11 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
         return F.struct(F.greatest(acc["at"], -x["back"]).alias("at"), F.when(apart, piece).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    name = "_spans"
+    while name in docs.columns:
+        name += "_"
+    done = F.aggregate(F.col(name), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
     clean = F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
-    marked = docs.withColumn("_spans", spans)
+    marked = docs.withColumn(name, spans)
     # a text without spans is not copied
-    return marked.withColumn(text_col, F.when(F.size("_spans") > 0, clean).otherwise(F.col(text_col))).drop("_spans").select(*docs.columns)
+    return marked.withColumn(text_col, F.when(F.size(name) > 0, clean).otherwise(F.col(text_col))).drop(name).select(*docs.columns)

@@ -9,7 +9,7 @@ nodes with equal tops (``fp & mask``), and tops are dealt over the cluster. A to
 fingerprints is split anew by the same argument on its remaining bits, so no link is lost. Each task links
 with union-find and returns a spanning forest, never all pairs of a group.
 
-Cases: null or empty text has fingerprint 0 and is linked like any other. Repeated documents keep a row each.
+Cases: null or empty text has fingerprint 0 and is linked like any other; a row with null doc_id has a fingerprint and a null component. Repeated documents keep a row each.
 Other input columns are ignored. An empty table gives an empty result.
 """
 
@@ -185,13 +185,13 @@ def links(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFram
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id``: the smallest doc_id reachable over links of ``radius`` bits or fewer."""
     fps = materialise(fingerprints(docs, id_col, text_col), "fps")
-    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "distinct")
     roots = components(links(distinct, radius))
     named = distinct.join(roots, distinct.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents whose doc_id is their component's smallest; columns stay. Needs unique doc_id."""
-    kept = near_duplicates(docs, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs.doc_id == F.col("_kept"), "left_semi")
+    """The documents whose doc_id is their component's smallest; columns stay, whatever their names. Needs unique doc_id; rows without one stay."""
+    gone = near_duplicates(docs, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
