@@ -94,7 +94,8 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label_cols: list[str],
 
     got = rows.mapInArrow(run, "o long, y array<double>, i binary, x binary").collect()
     got.sort(key=lambda r: (r["o"], bytes(r["i"])))
-    return [(r["y"], np.frombuffer(r["i"], np.int32).astype(np.int64), np.frombuffer(r["x"], np.float32).astype(np.float64)) for r in got]
+    # views of what was collected; wider numbers are made a row at a time
+    return [(r["y"], np.frombuffer(r["i"], np.int32), np.frombuffer(r["x"], np.float32)) for r in got]
 
 
 def scores(docs: DataFrame, models: list[tuple[np.ndarray, float]]) -> DataFrame:
