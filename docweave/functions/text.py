@@ -13,20 +13,25 @@ PRONOUNS = ("it", "that", "those", "them", "this")
 CONFIDENCE = (("Very High", ("very high", "highest", "maximum", "critical")), ("High", ("high", "important", "strong")), ("Medium", ("medium", "moderate", "mid", "average")), ("Low", ("low", "weak", "uncertain")))
 
 
+def strip(c: Column) -> Column:
+    """Without ASCII white space at either end; ``trim`` alone takes spaces only."""
+    return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def value_type(c: Column) -> Column:
     """boolean, integer, float or string, as a delimited file's cell would be read."""
-    low = F.lower(F.trim(c))
+    low = F.lower(strip(c))
     return F.when(low.isin("true", "false"), "boolean").when(c.rlike(INT), "integer").when(c.rlike(FLOAT), "float").when(c.isNotNull(), "string")
 
 
 def parse_value(c: Column) -> Column:
     """A struct with the one of ``b, i, d, s`` that the cell is."""
-    kind, plain = value_type(c), F.regexp_replace(F.trim(c), "_", "")
+    kind, plain = value_type(c), F.regexp_replace(strip(c), "_", "")
     return F.struct(
         kind.alias("kind"),
-        F.when(kind == "boolean", F.lower(F.trim(c)) == "true").alias("b"),
+        F.when(kind == "boolean", F.lower(strip(c)) == "true").alias("b"),
         F.when(kind == "integer", plain.try_cast("bigint")).alias("i"),
-        F.when(kind == "float", F.trim(c).try_cast("double")).alias("d"),
+        F.when(kind == "float", strip(c).try_cast("double")).alias("d"),
         F.when(kind == "string", c).alias("s"),
     )
 
@@ -34,7 +39,7 @@ def parse_value(c: Column) -> Column:
 def is_empty_row(cells: Column, start: int = 0, end: int | None = None) -> Column:
     """Whether cells from ``start`` to ``end`` (inclusive) are all null or blank; a null row is."""
     part = F.slice(cells, start + 1, 2**31 - 1 - start if end is None else end - start + 1)
-    return F.coalesce(F.forall(part, lambda x: x.isNull() | (F.trim(x) == "")), F.lit(True))
+    return F.coalesce(F.forall(part, lambda x: x.isNull() | (strip(x) == "")), F.lit(True))
 
 
 def row_text(names: Column, cells: Column) -> Column:
@@ -44,15 +49,15 @@ def row_text(names: Column, cells: Column) -> Column:
 
 def key_hash(*parts: Column) -> Column:
     """16 hex digits of the SHA-256 of the lower-cased, trimmed parts."""
-    return F.substring(F.sha2(F.concat_ws("|", *[F.lower(F.trim(p)) for p in parts]).cast("binary"), 256), 1, 16)
+    return F.substring(F.sha2(F.concat_ws("|", *[F.lower(strip(p)) for p in parts]).cast("binary"), 256), 1, 16)
 
 
 def preprocess_query(c: Column, model: str = "", prefix: str = "Represent this document for retrieval: ") -> Column:
-    return F.concat(F.lit(prefix), F.trim(c)) if "bge" in model.lower() else F.trim(c)
+    return F.concat(F.lit(prefix), strip(c)) if "bge" in model.lower() else strip(c)
 
 
 def confidence(c: Column) -> Column:
-    low = F.lower(F.trim(c))
+    low = F.lower(strip(c))
     out = F
     for level, phrases in CONFIDENCE:
         hit = F.lit(False)
@@ -106,7 +111,7 @@ def squeeze(c: Column, most: int = 100_000) -> Column:
 
 
 def is_follow_up(query: Column, has_history: Column) -> Column:
-    low = F.trim(F.lower(query))
+    low = strip(F.lower(query))
     short = F.size(F.filter(F.split(low, r"\s+"), lambda x: x != "")) <= 5
     pronoun = F.lit(False)
     for p in PRONOUNS:
@@ -135,7 +140,7 @@ def link_targets(c: Column) -> Column:
 
 def url_title(url: Column) -> Column:
     last = F.try_element_at(F.filter(F.split(F.regexp_replace(F.regexp_replace(url, "[?#].*$", ""), "^[a-z]+://[^/]*", ""), "/"), lambda x: x != ""), F.lit(-1))
-    return F.initcap(F.trim(F.regexp_replace(F.regexp_replace(last, r"\.[A-Za-z0-9]{1,5}$", ""), "[-_]+", " ")))
+    return F.initcap(strip(F.regexp_replace(F.regexp_replace(last, r"\.[A-Za-z0-9]{1,5}$", ""), "[-_]+", " ")))
 
 
 def last_header(rows: Column, column: int) -> Column:
@@ -146,13 +151,13 @@ def last_header(rows: Column, column: int) -> Column:
 
 def file_name(c: Column, fallback: str = "file") -> Column:
     """Control characters become spaces, spaces collapse, what Latin-1 lacks goes."""
-    clean = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x1F\x7F]", " "), r"[^\x00-\xFF]", ""), " +", " "))
+    clean = strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x1F\x7F]", " "), r"[^\x00-\xFF]", ""), " +", " "))
     return F.coalesce(F.nullif(clean, F.lit("")), F.lit(fallback))
 
 
 def list_kind(c: Column, share: float = 0.6, least: int = 2) -> Column:
     """bullet, ordered or null by what at least ``share`` of the lines start with."""
-    lines = F.filter(F.split(c, "\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(c, "\n"), lambda x: strip(x) != "")
     part = lambda p: F.size(F.filter(lines, lambda x: x.rlike(p))) / F.size(lines)
     enough = F.size(lines) >= least
     return F.when(enough & (part(r"^\s*[-*•‣▪·]\s") >= share), "bullet").when(enough & (part(r"^\s*[0-9]+[.)]\s") >= share), "ordered")
@@ -164,7 +169,7 @@ def sync_key(*parts: Column) -> Column:
 
 def decode_json(c: Column, schema: str) -> Column:
     """JSON that may be a JSON string of JSON."""
-    inner = F.when(F.trim(c).startswith('"'), F.from_json(F.concat(F.lit('{"v":'), c, F.lit("}")), "v string")["v"]).otherwise(c)
+    inner = F.when(strip(c).startswith('"'), F.from_json(F.concat(F.lit('{"v":'), c, F.lit("}")), "v string")["v"]).otherwise(c)
     return F.from_json(inner, schema)
 
 
@@ -179,4 +184,4 @@ def mdx_to_md(c: Column) -> Column:
     c = F.regexp_replace(c, r"(?s)</?(CodeGroup|AccordionGroup)[^>]*>", "\n\n")
     c = F.regexp_replace(c, r"(?s)<[A-Z][A-Za-z0-9]*(\s[^>]*)?/>", "")
     c = F.regexp_replace(c, r"(?s)</?[A-Z][A-Za-z0-9]*(\s[^>]*)?>", "")
-    return F.trim(F.regexp_replace(c, "\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(c, "\n{3,}", "\n\n"))
