@@ -9,6 +9,8 @@ nodes with equal tops (``fp & mask``), and tops are dealt over the cluster. A to
 fingerprints is split anew by the same argument on its remaining bits, so no link is lost. Each task links
 with union-find and returns a spanning forest, never all pairs of a group.
 
+The pipeline's stage (``keep_one``) doesn't link by these bits but by exact shingle similarity, see ``shingles``.
+
 Cases: null or empty text has fingerprint 0 and is linked like any other; a row with null doc_id has a fingerprint and a null component. Repeated documents keep a row each.
 Other input columns are ignored. An empty table gives an empty result.
 """
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm import kernel
+from docweave.llm import kernel, shingles
 from docweave.llm.components import components
 from docweave.llm.scratch import materialise, tune
 
@@ -191,7 +193,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     return fps.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents whose doc_id is their component's smallest; columns stay, whatever their names. Needs unique doc_id; rows without one stay."""
-    gone = near_duplicates(docs, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents that are the smallest doc_id of their group of near copies, by the similarity of whole sets of word shingles; columns stay,
+    whatever their names. Needs unique doc_id; rows without one stay."""
+    gone = shingles.copies(docs).where("id <> root").select(F.col("id").alias("_gone"))
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

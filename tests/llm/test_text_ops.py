@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docweave.llm import hmm, leaks, linear, mixing, passages, pii, quality, queries, simhash
+from docweave.llm import hmm, leaks, linear, mixing, passages, pii, quality, queries, shingles, simhash
 
 D = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -163,6 +163,51 @@ def test_simhash_edges(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def grams(text, width=5):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {tuple(words[k : k + width]) for k in range(len(words) - width + 1)} or ({tuple(words)} if words else set())
+
+
+def similar_groups(texts):
+    sets = {i: grams(t) for i, t in texts.items()}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for a, i in enumerate(ids):
+        for j in ids[a + 1 :]:
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_near_copies_are_complete(spark, docs, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = {d["doc_id"]: d["text"] for d in docs}
+    for k in range(30):
+        words = [f"w{x}" for x in rng.integers(0, 500, rng.integers(5, 160))]
+        for copy in range(5):  # chains: each copy is made of the last one
+            texts[10_000 + 10 * k + copy] = " ".join(words)
+            words = list(words)
+            for at in rng.choice(len(words), min(len(words), 1 + copy % 3), replace=False):
+                words[at] = f"new{rng.integers(500)}"
+    line = " ".join(f"common{k}" for k in range(30))
+    texts |= {20_000 + k: f"{line} a{k}" + (" b c" if k % 2 else "") for k in range(40)}
+    texts |= {30_000: "", 30_001: None, 30_002: "one two", 30_003: "One  two", 30_004: "one two three"}
+    want = similar_groups(texts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for share in (64, 1):  # the second puts common shingles last
+        monkeypatch.setattr(shingles, "SHARE", share)
+        assert {r["id"]: r["root"] for r in shingles.copies(df).collect()} == want
+    assert set(by_id(simhash.keep_one(df))) == {i for i, r in want.items() if i == r}
+
+
 # passages
 
 
