@@ -2,14 +2,14 @@
 
 Pages are cut into tokens: element paths, and text blocks. A token's occurrence vector over its host's pages is kept
 as an additive digest (the sum over pages of a hash of page and count), so vectors are compared without gathering
-them. Tokens of a host with equal digests form a class; a class that at least ``FREQUENT`` of the pages hold is valid. A
-valid class of text blocks is template text. Valid classes of element paths nest by their paths and delimit slots; the host's
-main slot is the deepest path that holds most of its slot text. A page's text is what is left in its
-``article`` or ``main`` element, else in the host's main slot, else in its body, without template text and
-without elements that are menus, adverts, forms and the like by their name or class.
+them. Tokens of a host with equal digests form a class; a class that at least ``FREQUENT`` of the host's different pages, and two of them, hold is
+valid. A valid class of text blocks is template text; valid element paths may be slots. A page's main slot is the
+deepest of them that holds most of the page's text without the template. A page's text is all of its
+``article`` or ``main`` element, else of its main slot, else of its body, without
+elements that are menus, adverts, forms and the like by their name or class. Copies of a page count once in the template.
 
 Cases: null html counts as empty and gives empty text; a page cut off in a tag or element is read up to there; repeated rows
-count each; a null or odd url has an empty host; hosts with fewer than ``FEW`` pages have no template. Other columns are
+count each; a null or odd url has an empty host; hosts with a single page, or copies of one, have no template. Other columns are
 ignored.
 """
 
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from docweave.llm.scratch import materialise, tune
 
-FREQUENT, FEW = 0.9, 10
+FREQUENT = 0.9
+#: elements of running text, which are no slot of a page
+LEAVES = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 td th tr blockquote pre ul ol dl a b i em strong span font code small".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[a-zA-Z!?/][^>]*>|<[a-zA-Z/!?][^>]*\Z", re.S)
 ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -173,41 +175,60 @@ def _tokens(batches):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """One row a host of ``FEW`` pages or more: ``host, fixed`` (hashes of template text) and ``slot`` (the main path or null)."""
+    """One row a host of two different pages or more: ``host, fixed`` (hashes of template text) and ``slots`` (paths that may be the main slot)."""
+    # copies of a page tell nothing of its template
+    pages = pages.withColumn("_page", F.md5(F.coalesce("html", F.lit("")))).dropDuplicates(["host", "_page"]).drop("_page")
     t = pages.mapInArrow(_tokens, "host string, kind string, token long, path string, pages long, times long, vector long, chars long")
     t = materialise(t.groupBy("host", "kind", "token", "path").agg(*[F.sum(c).alias(c) for c in ("pages", "times", "vector", "chars")]), "tokens")
-    size = t.where("kind = 'page'").where(F.col("pages") >= FEW).select("host", F.col("pages").alias("all"))
+    size = t.where("kind = 'page'").where("pages > 1").select("host", F.col("pages").alias("all"))
     # a class is what has one vector; it is valid if enough pages hold it
-    classes = t.where("kind <> 'page'").join(size, "host").where(F.col("pages") >= FREQUENT * F.col("all"))
-    classes = classes.groupBy("host", "kind", "vector", "all").agg(F.collect_list(F.struct("token", "path", "chars")).alias("members"), F.first("pages").alias("pages"))
+    classes = t.where("kind <> 'page'").join(size, "host").where((F.col("pages") > 1) & (F.col("pages") >= FREQUENT * F.col("all")))
+    classes = classes.groupBy("host", "kind", "vector", "all").agg(F.collect_list(F.struct("token", "path")).alias("members"))
     fixed = classes.where("kind = 'text'").groupBy("host").agg(F.flatten(F.collect_list("members.token")).alias("fixed"))
-    inner = classes.where("kind = 'path'").select("host", F.explode("members").alias("m")).select("host", "m.path", "m.chars")
-    most = inner.groupBy("host").agg(F.max("chars").alias("most"))
-    # nested classes: the deepest path that still holds nearly all of the text
-    slot = inner.join(most, "host").where("chars >= 0.8 * most").groupBy("host").agg(F.max_by("path", F.length("path")).alias("slot"))
-    return size.join(fixed, "host", "left").join(slot, "host", "left").select("host", "fixed", "slot")
-
-
-def main_text(page: str, fixed: frozenset = frozenset(), slot: str | None = None) -> str:
-    """The page's main text, blocks joined by an empty line."""
+    slots = classes.where("kind = 'path'").groupBy("host").agg(F.flatten(F.collect_list("members.path")).alias("slots"))
+    return size.join(fixed, "host", "left").join(slots, "host", "left").select("host", "fixed", "slots")
+
+
+def _slot(some: list[tuple[str, str]], fixed: frozenset, slots: frozenset) -> str | None:
+    """The deepest path of ``slots`` that holds nearly all text that isn't template text. If that is under half of all text, the text
+    itself may repeat across pages (versions of one article), and all text counts."""
+    own, every = {}, {}
+    for path, text in some:
+        free = _signed(_hash(text)) not in fixed
+        steps = path.split("/")
+        for k in range(1, len(steps) + 1):
+            at = "/".join(steps[:k])
+            every[at] = every.get(at, 0) + len(text)
+            if free:
+                own[at] = own.get(at, 0) + len(text)
+    if 2 * own.get("", 0) < every.get("", 0):
+        own = every
+    deep = [p for p, n in own.items() if p in slots and p.rsplit("/", 1)[-1].split(".")[0] not in LEAVES and n >= 0.8 * own[""]]
+    return max(deep, key=lambda p: p.count("/"), default=None)
+
+
+def main_text(page: str, fixed: frozenset = frozenset(), slots: frozenset = frozenset()) -> str:
+    """The page's main text, blocks joined by an empty line. Nothing in the main element or slot is dropped for being frequent."""
     every = blocks(page)
-    some = [(p, t) for p, t, main, boring in every if main and not boring]
-    if not any(main for _, _, main, _ in every):
-        some = [(p, t) for p, t, _, boring in every if not boring]
-        if slot:
-            some = [(p, t) for p, t in some if p == slot or p.startswith(slot + "/")] or some
-    return "\n\n".join(t for _, t in some if not fixed or _signed(_hash(t)) not in fixed)
+    if any(main for _, _, main, _ in every):
+        return "\n\n".join(t for _, t, main, boring in every if main and not boring)
+    some = [(p, t) for p, t, _, boring in every if not boring]
+    slot = _slot(some, fixed, slots) if slots else None
+    if slot:
+        some = [(p, t) for p, t in some if p == slot or p.startswith(slot + "/")]
+    return "\n\n".join(t for _, t in some)
 
 
 def _extract(batches):
-    sets: dict[str, frozenset] = {}
+    sets: dict[str, tuple] = {}
     for b in batches:
         texts = []
-        for host, page, fixed, slot in zip(*(c.to_pylist() for c in b.columns[2:])):
-            if fixed and len(sets) > 4096:
-                sets.clear()
-            known = sets.setdefault(host, frozenset(fixed)) if fixed else frozenset()
-            texts.append(main_text(page or "", known, slot))
+        for k, host in enumerate(b.column(2).to_pylist()):
+            if host not in sets:
+                if len(sets) > 512:
+                    sets.clear()
+                sets[host] = tuple(frozenset(c[k].as_py() or ()) for c in b.columns[4:])
+            texts.append(main_text(b.column(3)[k].as_py() or "", *sets[host]))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(np.fromiter(map(len, texts), np.int64, len(texts)))], ["page_id", "url", "text", "n_chars"])
 
 
@@ -218,5 +239,5 @@ def extract(pages: DataFrame) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
     known = materialise(templates(pages.select("host", "page_id", "html")), "templates").withColumnRenamed("host", "_host")
     # small tables of hosts are broadcast by their measured size, large ones are joined with skew split
-    rows = pages.join(known, pages.host == known._host, "left").select("page_id", "url", "host", "html", "fixed", "slot")
+    rows = pages.join(known, pages.host == known._host, "left").select("page_id", "url", "host", "html", "fixed", "slots")
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

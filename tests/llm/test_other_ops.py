@@ -30,6 +30,20 @@ def test_html_template_by_host(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_copies_and_small_hosts(spark):
+    def page(host, k, story, tag="div"):
+        return k, f"http://{host}/{k}", f"<html><body><div class=top><p>Site name</p></div><{tag} class=c><h2>Head</h2><p>{story}</p><p>By the desk</p></{tag}><div><p>All rights kept</p></div></body></html>"
+
+    long = "A story that is told again and again by the same host in the same words"
+    rows = [page("copies", k, long) for k in range(12)]  # one page only
+    rows += [page("mark", 20 + k, long + (f" {k}" if k > 10 else ""), "article") for k in range(12)]
+    rows += [page("small", 40 + k, f"{long} {k}") for k in range(3)] + [page("large", 60 + k, f"{long} {k}") for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(long in got[k] for k, _, _ in rows)
+    assert got[20] == f"Head\n\n{long}\n\nBy the desk"
+    assert got[41] == got[61] == f"Head\n\n{long} 1\n\nBy the desk"  # the same at 3 pages and at 12
+
+
 def test_ann_recall(spark):
     d = "/root/testdata/sf0.01"
     t = pq.read_table(f"{d}/embeddings.parquet").to_pylist()
