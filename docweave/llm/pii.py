@@ -30,6 +30,7 @@ PROPOSE = {
 BASE = ("email", "ip", "card", "phone")
 #: cheap tests that a text without the kind fails
 MAY = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
+MAY_MATCH = {"card": r"[0-9][\x20-]?[0-9]", "iban": "[0-9]{2}"}
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.7, "ssn": 0.3}
 CONTEXT = {
     "email": r"mail|contact|write|e-mail",
@@ -109,7 +110,7 @@ def _spans(kind: str, text: Column) -> Column:
     rows = F.transform(rows, scored)
     if kind not in BASE:
         rows = F.filter(rows, lambda x: x["score"] >= LEAST)
-    may = text.contains(MAY[kind]) if kind in MAY else text.rlike("[0-9]{2}")
+    may = text.contains(MAY[kind]) if kind in MAY else text.rlike(MAY_MATCH[kind])
     none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
     return F.when(may, rows).otherwise(none)
 

@@ -88,6 +88,18 @@ def test_pii_added_kinds_and_redaction(spark, odd, empty):
     assert pii.report(empty).count() == 0 and pii.report(odd).count() == len(ODD)
 
 
+def test_pii_card_of_lone_digits(spark):
+    texts = [(1, "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"), (2, "pay 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1 now"), (3, "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 2")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = by_id(pii.report(df))
+    for i, t in texts:
+        want = base_spans(t)
+        assert got[i]["n_card"] == len(want) == (i < 3)
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{z}" for k, a, z in want).encode()).hexdigest()
+    red = by_id(pii.redact(df))
+    assert [red[i]["text"] for i in (1, 2, 3)] == ["[CARD]", "pay [CARD] now", texts[2][1]]
+
+
 # SimHash
 
 
