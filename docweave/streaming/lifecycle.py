@@ -55,6 +55,19 @@ def _advance(record: int, rows: list[dict], status: str | None, version: int) ->
 _NAMES = [c.split()[0] for c in OUT.split(", ")]
 
 
+def expand(events: DataFrame) -> DataFrame:
+    """``EVENT`` rows with each bulkDeleteRecords event as one deleteRecord event for each of its ``record_ids`` (an array column, which other events
+    have null; without that column there are none). A bulk event that names no record has no rows. Virtual ids are to be resolved to records before."""
+    names = [c.split()[0] for c in EVENT.split(", ")]
+    if "record_ids" not in events.columns:
+        return events.select(*names)
+    bulk = F.coalesce(F.col("event_type") == "bulkDeleteRecords", F.lit(False))
+    ids = F.when(bulk, F.array_distinct(F.filter("record_ids", lambda x: x.isNotNull()))).otherwise(F.array("record_id"))
+    kind = F.when(bulk, "deleteRecord").otherwise(F.col("event_type"))
+    own = {"record_id": F.explode(ids).alias("record_id"), "event_type": kind.alias("event_type")}
+    return events.select(*[own.get(c, F.col(c)) for c in names])
+
+
 def stream(events: DataFrame) -> DataFrame:
     """Status changes of a stream of ``EVENT`` rows. A record's events are taken in the order of their ids within a micro-batch."""
 
@@ -65,7 +78,7 @@ def stream(events: DataFrame) -> DataFrame:
         state.update((status, version))
         yield pd.DataFrame(out, columns=_NAMES)
 
-    return events.groupBy("record_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return expand(events).groupBy("record_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def replay(events: DataFrame) -> DataFrame:
@@ -74,7 +87,7 @@ def replay(events: DataFrame) -> DataFrame:
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_advance(key[0], frame.to_dict("records"), None, 0)[0], columns=_NAMES)
 
-    return events.groupBy("record_id").applyInPandas(run, OUT)
+    return expand(events).groupBy("record_id").applyInPandas(run, OUT)
 
 
 def from_events(events: DataFrame) -> DataFrame:

@@ -178,6 +178,19 @@ def test_lifecycle_rules(spark):
     assert [r["status"] for r in got.orderBy("event_id").collect()] == ["COMPLETED", "COMPLETED", "EMPTY", None, None, "AUTO_INDEX_OFF"]
 
 
+def test_lifecycle_bulk_delete(spark, tmp_path):
+    rows = [(1, 1, "newRecord", "active", True, "OK", None), (2, 2, "newRecord", "active", True, "OK", None), (3, 3, "newRecord", "active", True, "OK", None)]
+    rows += [(None, 4, "bulkDeleteRecords", None, None, None, [1, 2, 2, None]), (2, 5, "updateRecord", "active", True, "OK", None), (None, 6, "bulkDeleteRecords", None, None, None, [])]
+    df = spark.createDataFrame(rows, lifecycle.EVENT + ", record_ids array<long>")
+    got = {(r["record_id"], r["event_id"]): (r["event_type"], r["status"], r["embeddings"]) for r in lifecycle.replay(df).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (1, 4), (2, 4), (2, 5)}
+    assert got[1, 4] == got[2, 4] == ("deleteRecord", None, "delete") and got[3, 3][1] == "COMPLETED" and got[2, 5] == ("updateRecord", None, "keep")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = lifecycle.stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).format("memory").queryName("bulk").start()
+    q.awaitTermination()
+    assert {(r["record_id"], r["event_id"]): (r["event_type"], r["status"], r["embeddings"]) for r in spark.table("bulk").collect()} == got
+
+
 def test_lifecycle_stream_is_the_replay(spark, tmp_path):
     e = lifecycle.from_events(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
     # files in the order of event ids, a micro-batch each
