@@ -5,8 +5,11 @@ text). The ``HEAD`` most frequent words are symbols of their own; every other wo
 symbols, picked by its bytes' shape, and has within it an add-one probability from its own count. So a word's
 emission is ``b(symbol) * q(word | symbol)``, which sums to one over all words and an unknown one.
 
-Baum-Welch runs over all training texts: partitions emit expected counts of one E-step, aggregated by symbol. Texts are
-then scored by the scaled forward recursion, exactly and over their whole length.
+Baum-Welch runs over all training texts, each as a whole: partitions emit expected counts of one E-step, aggregated by symbol. Tokens
+lie in rows of an array that all advance together; a row takes over the forward message of the row before and the backward
+message of the row after, and is run again until these no longer move, so a text has the counts of one pass from its start to its
+end. Rounds stop when the log probability of the training texts hardly grows. Texts are then scored by the scaled forward recursion, exactly and over
+their whole length.
 
 Words are told apart by 64-bit hashes. Counts of the ``LOOKUP`` most frequent words are shipped to every task (a fixed
 bound); rarer words, none of which can be hot, are joined by hash.
@@ -29,10 +32,12 @@ from docweave.llm.linear import bucket_of
 from docweave.llm.scratch import materialise, tune
 
 FOLDS, HELD_OUT = 7, 2
-STATES, HEAD, LOOKUP, ROUNDS = 8, 16_384, 262_144, 6
+STATES, HEAD, LOOKUP = 8, 16_384, 262_144
+#: most Baum-Welch rounds, and the gain in log probability, as a share of it, below which they stop
+ROUNDS, GAIN = 6, 1e-3
 SHAPES, END_HASH = 24, 0x6A09E667F3BCC909
-#: tokens in one training row and training rows in one numpy step
-CHUNK, ROWS, GROUP = 64, 4096, 4_000_000
+#: tokens in one row of an array and rows in one numpy step; messages between rows are exact up to ``SAME``
+CHUNK, ROWS, GROUP, SAME = 512, 512, 4_000_000, 1e-13
 LOG10 = math.log(10)
 
 
@@ -162,39 +167,97 @@ class Model:
         move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
         return Model(np.full(states, 1 / states), move, emit / emit.sum(0))
 
-    def expected(self, symbols: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts, transitions and emissions over texts; long texts go in rows of ``CHUNK`` tokens."""
+    def expected(self, symbols: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected counts of starts, transitions and emissions over whole texts, and the texts' log probability."""
         k, size = len(self.start), len(self.emit)
-        starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
+        starts, moves, emits, logs = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), 0.0
+        table, back = np.ascontiguousarray(self.emit.T), self.move
+        onward = np.ascontiguousarray(self.move.T)
         for a, z in kernel.blocks(offs, CHUNK * ROWS):
-            seq, fresh = symbols[offs[a] : offs[z]], np.zeros(offs[z] - offs[a], bool)
-            fresh[offs[a:z] - offs[a]] = True
+            seq = symbols[offs[a] : offs[z]]
             n = -(-len(seq) // CHUNK)
             pad = n * CHUNK - len(seq)
-            sym = np.concatenate((seq, np.zeros(pad, np.uint16))).reshape(n, CHUNK).T
-            new = np.concatenate((fresh, np.ones(pad, bool))).reshape(n, CHUNK).T
-            real = np.concatenate((np.ones(len(seq), bool), np.zeros(pad, bool))).reshape(n, CHUNK).T
-            alpha, seen = np.empty((CHUNK, n, k)), self.emit[sym]
-            for t in range(CHUNK):
-                prior = np.broadcast_to(self.start, (n, k)) if t == 0 else np.where(new[t][:, None], self.start, alpha[t - 1] @ self.move)
-                now = prior * seen[t]
-                alpha[t] = now / now.sum(1, keepdims=True)
-            beta = np.ones((n, k))
+            if not n:
+                continue
+            fresh = np.zeros(n * CHUNK, bool)
+            fresh[offs[a:z][np.diff(offs[a : z + 1]) > 0] - offs[a]] = True
+            fresh[len(seq) :] = True
+            # token t of row r is token r * CHUNK + t of the block; a row goes on where the one before it ended
+            sym = np.concatenate((seq, np.zeros(pad, seq.dtype))).reshape(n, CHUNK).T
+            new = np.ascontiguousarray(fresh.reshape(n, CHUNK).T)
+            seen = np.stack([t[sym] for t in table], 1)  # token, state, row
+            last, some = max(CHUNK - pad, 0), np.flatnonzero(new.any(1))
+            some = frozenset(some.tolist())
+            alpha, scale = np.empty((CHUNK, k, n)), np.empty((CHUNK, n))
+
+            def forward(rows, entry):
+                whole = len(rows) == n
+                now = entry
+                for t in range(CHUNK):
+                    prior = onward @ now
+                    if t in some:
+                        prior = np.where(new[t] if whole else new[t, rows], self.start[:, None], prior)
+                    now = prior * (seen[t] if whole else seen[t][:, rows])
+                    c = now.sum(0)
+                    now /= c
+                    if whole:
+                        alpha[t], scale[t] = now, c
+                    else:
+                        alpha[t][:, rows], scale[t, rows] = now, c
+
+            # every row starts from the end of the row before it; rows are run again until no row's start moves
+            entry = np.repeat(self.start[:, None], n, 1)
+            rows = np.arange(n)
+            while len(rows):
+                forward(rows, entry[:, rows])
+                following = np.concatenate((self.start[:, None], alpha[-1][:, :-1]), 1)
+                moved = (np.abs(following - entry).max(0) > SAME) & ~new[0]
+                entry, rows = following, np.flatnonzero(moved)
+            logs += float(np.log(scale).sum() - (np.log(scale[last:, -1]).sum() if pad else 0.0))
+            real = np.ones((CHUNK, n), bool)
+            if pad:
+                real[last:, -1] = False
+            inverse = 1 / scale
+
+            def backward(rows, beta):
+                """The messages to the row before."""
+                whole = len(rows) == n
+                for t in range(CHUNK - 1, -1, -1):
+                    pick = (lambda x: x) if whole else (lambda x: x[..., rows])
+                    ahead = pick(seen[t]) * beta * pick(inverse[t])
+                    beta = back @ ahead
+                    if t in some:
+                        beta = np.where(pick(new[t]), 1.0, beta)
+                return beta
+
+            # likewise from the end; a text's last token has nothing after it
+            leave = np.ones((k, n))
+            first = np.ones((k, n))
+            rows = np.arange(n)
+            while len(rows):
+                first[:, rows] = backward(rows, leave[:, rows])
+                before = np.concatenate((first[:, 1:], np.ones((k, 1))), 1)
+                moved = np.abs(before - leave).max(0) > SAME * np.maximum(before.max(0), 1)
+                leave, rows = before, np.flatnonzero(moved)
+            beta = leave
             for t in range(CHUNK - 1, -1, -1):
+                ahead = seen[t] * beta * inverse[t]
+                prior = alpha[t - 1] if t else entry
                 gamma = alpha[t] * beta
-                gamma *= real[t][:, None] / gamma.sum(1, keepdims=True)
-                first = new[t] & real[t]
-                starts += gamma[first].sum(0)
-                for s in range(k):
-                    emits[:, s] += np.bincount(sym[t], gamma[:, s], size)
-                if t:
-                    ahead = seen[t] * beta
-                    joint = alpha[t - 1] @ self.move
-                    weight = np.where(new[t] | ~real[t], 0.0, 1.0) / np.maximum((joint * ahead).sum(1), 1e-300)
-                    moves += alpha[t - 1].T @ (ahead * weight[:, None]) * self.move
-                    back = ahead @ self.move.T
-                    beta = np.where(new[t][:, None], 1.0, back / back.sum(1, keepdims=True))
-        return starts, moves, emits
+                if t >= last:
+                    gamma *= real[t]
+                if t in some:
+                    starts += gamma[:, new[t] & real[t]].sum(1)
+                    ahead = np.where(new[t], 0.0, ahead)
+                moves += prior @ ahead.T
+                beta = back @ ahead
+                if t in some:
+                    beta = np.where(new[t], 1.0, beta)
+                alpha[t] = gamma
+            flat = sym.ravel()
+            for s in range(k):
+                emits[:, s] += np.bincount(flat, alpha[:, s].ravel(), size)
+        return starts, moves * self.move, emits, logs
 
     def log10(self, symbols: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Each text's exact log10 probability, by the scaled forward recursion; texts advance together, longest first."""
@@ -213,32 +276,32 @@ class Model:
         return out
 
 
-def _e_step(encoded: DataFrame, model: Model, states: int) -> Model:
-    """One Baum-Welch round over all training rows of ``encoded``."""
+def _e_step(encoded: DataFrame, model: Model, states: int) -> tuple[Model, float]:
+    """One Baum-Welch round over all training rows of ``encoded``: the new model, and the log probability of the texts by the old one."""
     shared = encoded.sparkSession.sparkContext.broadcast(model)
     k, size = states, len(model.emit)
 
     def run(batches):
-        starts, moves, emits, any_row = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), False
+        starts, moves, emits, logs, any_row = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), np.zeros(k), False
         for b in batches:
             symbols, offs = _binary_column(b.column(0))
             if len(symbols):
                 any_row = True
-                for total, part in zip((starts, moves, emits), shared.value.expected(symbols, offs)):
+                for total, part in zip((starts, moves, emits, logs), shared.value.expected(symbols, offs)):
                     total += part
         if any_row:
-            # rows 0 to size - 1 are symbols, then come the starts and the transitions
-            rows = np.vstack((emits, starts[None], moves))
+            # rows 0 to size - 1 are symbols, then come the starts, the transitions and the log probability
+            rows = np.vstack((emits, starts[None], moves, logs[None]))
             some = np.flatnonzero(rows.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(rows[some, s]) for s in range(k)]], ["row", *[f"s{s}" for s in range(k)]])
 
     counts = encoded.where("not held_out").select("symbols").mapInArrow(run, "row int, " + ", ".join(f"s{s} double" for s in range(k)))
     got = counts.groupBy("row").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(k)]).toPandas()
-    rows = np.zeros((size + 1 + k, k))
+    rows = np.zeros((size + 2 + k, k))
     rows[got["row"].to_numpy(np.int64)] = got[[f"s{s}" for s in range(k)]].to_numpy()
     emit = rows[:size] + 1e-2 * (model.emit.mean(1, keepdims=True) * size) + 1e-6
-    start, move = rows[size] + 1e-3, rows[size + 1 :] + 1e-3
-    return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    start, move = rows[size] + 1e-3, rows[size + 1 : size + 1 + k] + 1e-3
+    return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0)), float(rows[-1, 0])
 
 
 def score(docs: DataFrame, states: int = STATES, head: int = HEAD, lookup: int = LOOKUP, rounds: int = ROUNDS) -> DataFrame:
@@ -257,8 +320,12 @@ def score(docs: DataFrame, states: int = STATES, head: int = HEAD, lookup: int =
     weights[lex.head : lex.head + SHAPES] = 10**lex.rest
     weights[-1] = lex.ends
     model = Model.first(weights / weights.sum(), states)
+    before = None
     for _ in range(rounds if lex.n else 0):
-        model = _e_step(encoded, model, states)
+        model, logs = _e_step(encoded, model, states)
+        if before is not None and logs - before < GAIN * abs(before):
+            break
+        before = logs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

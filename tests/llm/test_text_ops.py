@@ -320,6 +320,38 @@ def test_hmm_forward_is_exact():
         assert x == pytest.approx(np.log10(a.sum()))
 
 
+def forward_backward(m, s):
+    """Expected counts of one text, token by token."""
+    k, a, c, b = len(m.start), [], [], [np.ones(len(m.start))]
+    for t, x in enumerate(s):
+        now = (m.start if t == 0 else a[-1] @ m.move) * m.emit[x]
+        c.append(now.sum())
+        a.append(now / c[-1])
+    for t in range(len(s) - 1, 0, -1):
+        b.append(m.move @ (m.emit[s[t]] * b[-1]) / c[t])
+    b = b[::-1]
+    emits, moves = np.zeros((len(m.emit), k)), np.zeros((k, k))
+    for t, x in enumerate(s):
+        emits[x] += a[t] * b[t]
+        if t:
+            moves += np.outer(a[t - 1], m.emit[x] * b[t] / c[t]) * m.move
+    return a[0] * b[0], moves, emits, np.log(c).sum()
+
+
+def test_hmm_counts_are_of_whole_texts(monkeypatch):
+    rng = np.random.default_rng(3)
+    k, size = 4, 30
+    m = hmm.Model(rng.dirichlet(np.ones(k)), 0.97 * np.eye(k) + 0.03 * rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(size), k).T)
+    for rows in (512, 64, 7):
+        monkeypatch.setattr(hmm, "CHUNK", rows)
+        for lens in ([1000], [1], [5, 70, 1, 64, 0, 128, 3000, 2], [63, 1, 512, 512]):
+            texts = [rng.integers(0, size, n).astype(np.uint16) for n in lens]
+            got = m.expected(np.concatenate(texts), np.cumsum([0, *lens]))
+            for g, want in zip(got, zip(*(forward_backward(m, t) for t in texts if len(t)))):
+                assert np.abs(g - sum(want)).max() < 1e-9
+        assert got[1].sum() == pytest.approx(sum(lens) - len(lens))
+
+
 def test_hmm_edges(odd, empty):
     got = by_id(hmm.score(odd, rounds=1))
     assert len(got) == len(ODD) and got[1]["n_tokens"] == 1 and all(np.isfinite(r["score"]) for r in got.values())
