@@ -5,13 +5,17 @@ smallest hash. Equal windows pick equal phrases, so only phrases that recur need
 windows with one phrase form a segment. The steps:
 
 1. cut all texts into segments and keep those whose phrase recurs (or that repeat a window in themselves);
-2. a segment that recurs as a whole is confirmed at once; of the others, single windows are compared;
-3. each text gets its confirmed stretches, merged; tasks compile Aho-Corasick automata from the stretches of a shard of
-   texts, stream every text of the shard through them, and remove the words that an occurrence covers.
+2. confirm passages by their counts: a segment that recurs as a whole is one, of the others the windows that recur. Of
+   each passage one place is kept, from which its words are taken;
+3. deal the passages over shards by phrase, and compile each shard's into an Aho-Corasick automaton over words. All texts
+   stream through: every segment goes to the shard of its phrase, whose automaton finds all passages in it, wherever in the corpus they
+   came from. A passage found at one place only (equal hashes of unequal words) is dropped;
+4. remove the words that an occurrence covers.
 
-All comparisons are joins or pre-aggregated counts on hashes, so a passage that a third of all texts share is never
-gathered in one task; the automata then confirm it on the words themselves. Cases: null text has no words; repeated rows and
-texts count each time, so a text of ``WIDTH`` words or more that occurs twice loses all words, in every copy.
+A shard has about ``SHARD`` segments; a phrase of more than ``HOT`` segments is dealt over several shards, each with all its passages (and there the
+count of step 2 decides alone). Counts are aggregated before they are shuffled, so a passage that a third of all texts share is
+never gathered in one task. Cases: null text has no words; repeated rows and texts count each time, so a text of ``WIDTH``
+words or more that occurs twice loses all words, in every copy; equal rows are cut and streamed once, with their number.
 """
 
 from __future__ import annotations
@@ -29,8 +33,10 @@ from docweave.llm import kernel
 from docweave.llm.scratch import materialise, tune
 
 WIDTH, PHRASE = 35, 8
-#: bytes of text whose stretches share an automaton
-SHARD = 4 << 20
+#: segments a shard, and segments of one phrase in a shard
+SHARD, HOT = 20_000, 20_000
+#: what a row of text is to a shard: to be streamed, a run of windows that are passages, a passage as a whole, or both stream and passage
+STREAM, RUN, WHOLE, BOTH = 0, 1, 2, 3
 TOP = np.iinfo(np.uint64).max
 
 
@@ -92,78 +98,161 @@ def _single_windows(batches):
             step = np.arange(int(n.sum())) - start
             w = s["window"][np.repeat(s["from"][at], n) + step]
             key = b.column(0)[i:j].take(pa.array(np.repeat(want >> 32, n)))
-            yield pa.RecordBatch.from_arrays([key, pa.array((np.repeat(want & 0xFFFFFFFF, n) + step).astype(np.int32)), pa.array(w.view(np.int64)), pa.array(np.repeat(rep, n))], ["key", "pos", "window", "rep"])
-
-
-def locate(texts: list[list[str]], stretches: list[list[tuple[int, int]]]) -> list[np.ndarray]:
-    """For each text (a list of words) which words some stretch of any of the texts covers, by one automaton."""
-    patterns: dict[str, int] = {}
-    for words, found in zip(texts, stretches):
-        end = -1
-        merged: list[list[int]] = []
-        for a, z in sorted(found):
-            if a <= end:
-                merged[-1][1] = end = max(end, z)
-            else:
-                merged.append([a, z])
-                end = z
-        for a, z in merged:
-            patterns[f" {' '.join(words[a:z])} "] = z - a
-    covered = [np.zeros(len(words) + 1, np.int64) for words in texts]
-    if patterns:
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
-        for p, n in patterns.items():
-            automaton.add_word(p, n)
-        automaton.make_automaton()
-        for words, cover in zip(texts, covered):
-            if len(words) < WIDTH:
-                continue
-            # an occurrence ends at the space after its last word
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-            hits = list(automaton.iter(f" {' '.join(words)} "))
-            if hits:
-                last = np.searchsorted(ends, np.array([e for e, _ in hits])) + 1
-                size = np.array([n for _, n in hits])
-                np.add.at(cover, last - size, 1)
-                np.add.at(cover, last, -1)
-    return [np.cumsum(c)[:-1] > 0 for c in covered]
+            cols = [key, pa.array((np.repeat(want & 0xFFFFFFFF, n) + step).astype(np.int32)), pa.array(np.repeat(s["phrase"][at], n)), pa.array(w.view(np.int64)), pa.array(np.repeat(rep, n))]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "pos", "phrase", "window", "rep"])
 
 
-def _removed(batches):
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
+def _pieces(batches):
+    """The words of each place asked for; windows side by side come as one run."""
+    names = ["phrase", "key", "pos", "copies", "kind", "text"]
     for b in batches:
-        _, offs = kernel.column_bytes(b.column(1))
-        for i, j in kernel.blocks(offs, SHARD):
-            texts = [(t or "").encode().split() for t in b.column(1)[i:j].to_pylist()]
-            texts = [[w.decode() for w in t] for t in texts]
-            asked = [[(x["pos"], x["pos"] + x["n"] + WIDTH - 1) for x in row or ()] for row in b.column(2)[i:j].to_pylist()]
-            gone = locate(texts, asked)
-            kept = [" ".join(compress(words, (~g).tolist())) if g.any() else " ".join(words) for words, g in zip(texts, gone)]
+        for key, text, copies, ask in zip(*(c.to_pylist() for c in b.columns)):
+            words = text.encode().split()
+            rows: dict[tuple[int, int, int], int] = {}
+            run = None
+            for x in sorted(ask, key=lambda x: (x["kind"] != RUN, x["phrase"], x["pos"])):
+                place = x["phrase"], x["pos"], x["n"]
+                if x["kind"] != RUN:
+                    rows[place] = BOTH if place in rows else x["kind"]
+                elif run and run[0] == x["phrase"] and run[1] + run[2] == x["pos"]:
+                    run[2] += 1
+                else:
+                    if run:
+                        rows[(*run, RUN)] = RUN
+                    run = list(place)
+            if run:
+                rows[(*run, RUN)] = RUN
+            cols = list(zip(*((p[0], p[1], kind, b" ".join(words[p[1] : p[1] + p[2] + WIDTH - 1]).decode()) for p, kind in rows.items())))
+            n = len(rows)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0)[i:j], pa.array([len(t) for t in texts], pa.int64()), pa.array([int(g.sum()) for g in gone], pa.int64()), pa.array([hashlib.sha256(k.encode()).hexdigest() for k in kept]), pa.array(kept)], names
+                [pa.array(cols[0], pa.int64()), pa.array([key] * n, pa.int64()), pa.array(cols[1], pa.int32()), pa.array([copies] * n, pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())], names
             )
 
 
-def stretches(docs: DataFrame) -> DataFrame:
-    """``key`` (a hash of id and text) and the confirmed ``found``: arrays of (first word, number of windows)."""
+class Shard:
+    """An automaton over the words of passages."""
+
+    def __init__(self, passages: list[tuple[int, str]], width: int = WIDTH):
+        self.ids: dict[str, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        sizes: list[int] = []
+        for kind, text in passages:
+            seq = tuple(self.ids.setdefault(w, len(self.ids) + 1) for w in text.split(" "))
+            for one in (seq[i : i + width] for i in range(len(seq) - width + 1)) if kind == RUN else (seq,):
+                if not self.automaton.exists(one):
+                    self.automaton.add_word(one, len(sizes))
+                    sizes.append(len(one))
+        self.sizes = np.array(sizes, np.int64)
+        if sizes:
+            self.automaton.make_automaton()
+
+    def find(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The passages in a text: their numbers, and the places of their last words."""
+        get = self.ids.get
+        hits = list(self.automaton.iter(tuple([get(w, 0) for w in text.split(" ")])))
+        return np.array([i for _, i in hits], np.int64), np.array([e for e, _ in hits], np.int64)
+
+
+def locate(shard: pa.Table) -> pa.Table:
+    """``key, pos, n``: the stretches of words that passages of the shard cover in its segments."""
+    kind, key, pos, copies, text = (shard.column(c).to_pylist() for c in ("kind", "key", "pos", "copies", "text"))
+    known = Shard([(k, t) for k, t in zip(kind, text) if k != STREAM])
+    out: list[tuple[int, int, int]] = []
+    if len(known.sizes):
+        found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        # a phrase of several shards has its passages everywhere, but only some of its segments here
+        times = np.full(len(known.sizes), 2 if any(shard.column("dealt").to_pylist()) else 0, np.int64)
+        rows = [r for r, k in enumerate(kind) if k in (STREAM, BOTH)]
+        for r in rows:
+            hits = found.get(text[r])
+            if hits is None:
+                hits = found[text[r]] = known.find(text[r])
+            np.add.at(times, hits[0], copies[r])
+        covered: dict[str, list[tuple[int, int]]] = {}
+        for t, (which, last) in found.items():
+            good = times[which] > 1
+            merged: list[list[int]] = []
+            ends = last[good] + 1
+            starts = ends - known.sizes[which[good]]
+            order = np.argsort(starts, kind="stable")
+            for a, z in zip(starts[order].tolist(), ends[order].tolist()):
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], z)
+                else:
+                    merged.append([a, z])
+            covered[t] = [(a, z - a) for a, z in merged]
+        out = [(key[r], pos[r] + a, n) for r in rows for a, n in covered[text[r]]]
+    cols = list(zip(*out)) or [[], [], []]
+    return pa.table({"key": pa.array(cols[0], pa.int64()), "pos": pa.array(cols[1], pa.int32()), "n": pa.array(cols[2], pa.int32())})
+
+
+def _removed(batches):
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
+    for b in batches:
+        n_words, n_removed, digests, kept = [], [], [], []
+        for text, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            words = (text or "").encode().split()
+            n_words.append(len(words))
+            if found:
+                edge = np.zeros(len(words) + 1, np.int64)
+                for x in found:
+                    edge[x["pos"]] += 1
+                    edge[x["pos"] + x["n"]] -= 1
+                words = list(compress(words, (np.cumsum(edge)[:-1] == 0).tolist()))
+            n_removed.append(n_words[-1] - len(words))
+            kept.append(b" ".join(words))
+            digests.append(hashlib.sha256(kept[-1]).hexdigest())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())], names)
+
+
+def confirmed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segments that may hold a passage, and one place of each passage: ``key, pos, n, phrase``, passages with their ``kind``."""
     every = materialise(docs.mapInArrow(_segments, "key long, pos int, n int, phrase long, segment long, inner boolean"), "segments")
     often = every.groupBy("phrase").agg(F.count("*").alias("times"), F.max("inner").alias("any_inner")).where("times > 1 or any_inner").select("phrase")
     some = materialise(every.join(often, "phrase", "left_semi"), "recurring")
-    kinds = some.groupBy("phrase", "segment").agg(F.count("*").alias("copies"), F.min(F.struct("key", "pos")).alias("rep"), F.max("inner").alias("inner"))
+    kinds = some.groupBy("phrase", "segment").agg(F.count("*").alias("copies"), F.min(F.struct("key", "pos", "n")).alias("rep"), F.max("inner").alias("inner"))
     kinds = materialise(kinds, "kinds")
-    whole = some.join(kinds.where("copies > 1").select("segment"), "segment", "left_semi").select("key", "pos", "n")
+    whole = kinds.where("copies > 1").select("rep.key", "rep.pos", "rep.n", "phrase", F.lit(WHOLE).alias("kind"))
     # phrases with segments that don't recur as a whole: those, and one copy of each segment that does
     lone = kinds.where("copies = 1").groupBy("phrase").agg(F.count("*").alias("lone"), F.max("inner").alias("lone_inner"))
     kinds_of = kinds.groupBy("phrase").agg(F.count("*").alias("kinds"))
     open_ = lone.join(kinds_of, "phrase").where("kinds > 1 or lone_inner").select("phrase")
     ask = kinds.join(open_, "phrase", "left_semi").select(F.col("rep.key").alias("_key"), F.struct(F.col("rep.pos").alias("pos"), (F.col("copies") > 1).alias("rep")).alias("ask"))
-    ask = ask.groupBy("_key").agg(F.collect_list("ask").alias("ask"))
-    # rows that share a key share id and text; their segments all have copies, so that asking each of them changes nothing
-    asked = docs.join(ask, docs.key == ask._key)
-    single = materialise(asked.select("key", "text", "ask").mapInArrow(_single_windows, "key long, pos int, window long, rep boolean"), "windows")
-    twice = single.groupBy("window").agg(F.count("*").alias("times"), F.max("rep").alias("rep")).where("times > 1 or rep").select("window")
-    ones = single.where("not rep").join(twice, "window", "left_semi").select("key", "pos", F.lit(1).alias("n"))
-    return whole.union(ones).groupBy("key").agg(F.collect_list(F.struct("pos", "n")).alias("found"))
+    single = _asked(docs, ask).select("key", "text", "ask").mapInArrow(_single_windows, "key long, pos int, phrase long, window long, rep boolean")
+    # a window that only segments of copies have is in their passage
+    twice = single.groupBy("window").agg(F.count("*").alias("times"), F.min("rep").alias("rep"), F.min(F.struct("key", "pos", "phrase")).alias("at")).where("times > 1 and not rep")
+    windows = twice.select("at.key", "at.pos", F.lit(1).alias("n"), "at.phrase", F.lit(RUN).alias("kind"))
+    return some.select("key", "pos", "n", "phrase"), materialise(whole.union(windows), "passages")
+
+
+def _asked(docs: DataFrame, ask: DataFrame) -> DataFrame:
+    """``key, text, copies, ask``: the texts asked for, equal rows once and with their number."""
+    ask = ask.groupBy("_key").agg(F.collect_set("ask").alias("ask"))
+    # rows that share a key share id and text
+    got = docs.join(ask, docs.key == ask._key).groupBy("key").agg(F.min("text").alias("text"), F.count("*").alias("copies"), F.first("ask").alias("ask"))
+    return got
+
+
+def stretches(docs: DataFrame, shard: int = SHARD, hot: int = HOT) -> DataFrame:
+    """``key`` (a hash of id and text) and what is ``found`` there: arrays of (first word, number of words)."""
+    some, passages = confirmed(docs)
+    streams = some.join(passages.select("phrase").distinct(), "phrase", "left_semi").select("key", "pos", "n", "phrase", F.lit(STREAM).alias("kind"))
+    ask = streams.union(passages.select(*streams.columns)).select(F.col("key").alias("_key"), F.struct("pos", "n", "phrase", "kind").alias("ask"))
+    rows = _asked(docs, ask).select("key", "text", "copies", "ask").mapInArrow(_pieces, "phrase long, key long, pos int, copies long, kind int, text string")
+    rows = materialise(rows, "pieces")
+    streamed = F.col("kind").isin(STREAM, BOTH)
+    size = rows.where(streamed).groupBy("phrase").agg(F.count("*").alias("size"))
+    parts = -(-rows.where(streamed).count() // shard)
+    large = size.where(F.col("size") > hot).select(F.col("phrase").alias("_phrase"), F.ceil(F.col("size") / hot).cast("int").alias("parts"))
+    rows = rows.join(large, rows.phrase == F.col("_phrase"), "left").withColumn("dealt", F.col("parts").isNotNull()).withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("key", "pos"), F.col("parts")).cast("int")
+    # segments go to one part of their phrase, passages to all
+    part = F.when(F.col("kind").isin(STREAM), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = rows.withColumn("own", own).withColumn("part", F.explode(part))
+    rows = rows.withColumn("kind", F.when((F.col("kind") == BOTH) & (F.col("part") != F.col("own")), WHOLE).otherwise(F.col("kind")))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("phrase", "part"), F.lit(max(parts, 1))))
+    found = rows.select("shard", "dealt", "kind", "key", "pos", "copies", "text").groupBy("shard").applyInArrow(locate, "key long, pos int, n int")
+    return found.groupBy("key").agg(F.collect_list(F.struct("pos", "n")).alias("found"))
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

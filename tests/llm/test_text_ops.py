@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -245,6 +246,40 @@ def test_passages(spark, docs):
         assert tuple(got[k][c] for c in ("n_words", "n_removed", "kept_sha256")) == want, k
 
 
+def test_passages_dealt_over_many_shards(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    line = [f"common{k}" for k in range(60)]
+    texts = [(k, " ".join([f"a{x}" for x in rng.integers(0, 10**6, 9)] + line[k % 7 : 40 + k % 19] + [f"b{x}" for x in rng.integers(0, 10**6, 40)])) for k in range(120)]
+    texts += [(500 + k, " ".join(line[:34])) for k in range(3)] + [(600, " ".join(line[:35]))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    want = removed(texts)
+    whole = passages.stretches
+    for shard, hot in ((20_000, 20_000), (7, 20_000), (7, 5)):
+        monkeypatch.setattr(passages, "stretches", lambda d, s=shard, h=hot: whole(d, s, h))
+        got = by_id(passages.remove(df))
+        assert {k: tuple(got[k][c] for c in ("n_words", "n_removed", "kept_sha256")) for k in want} == want
+
+
+def test_passages_come_from_anywhere():
+    words = [f"w{k}" for k in range(50)]
+    rows = [  # one passage of one text, as a run of windows; streams of two other texts, and one that only looks alike by its hash
+        (passages.RUN, 1, 0, 1, " ".join(words[:40])), (passages.STREAM, 1, 0, 1, " ".join(words[:40])), (passages.STREAM, 2, 10, 1, "x " + " ".join(words[2:45])),
+        (passages.WHOLE, 3, 0, 1, " ".join(words[::-1])), (passages.STREAM, 3, 0, 1, " ".join(words[::-1])),
+    ]
+    names = ["kind", "key", "pos", "copies", "text"]
+    for dealt in (False, True):
+        got = passages.locate(pa.Table.from_pylist([dict(zip(names, r), dealt=dealt) for r in rows])).to_pylist()
+        assert {(g["key"], g["pos"], g["n"]) for g in got if g["key"] != 3} == ({(1, 0, 40), (2, 11, 38)} if dealt else {(1, 2, 38), (2, 11, 38)})
+        assert any(g["key"] == 3 for g in got) == dealt
+
+
+def test_passages_equal_rows(spark):
+    text = " ".join(f"w{k}" for k in range(1000))
+    df = spark.range(10_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text")).union(spark.createDataFrame([(8, "own " * 3 + " ".join(text.split()[:200]))], "doc_id long, text string"))
+    got = passages.remove(df).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert {tuple(r) for r in got} == {(7, 1000, 1000, 10_000), (8, 203, 200, 1)}
+
+
 def test_passages_edges(odd, empty):
     got = by_id(passages.remove(odd))
     assert got[1]["n_words"] == 0 and got[8]["n_removed"] == 60_000 and got[7]["n_removed"] == 0
