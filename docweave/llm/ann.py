@@ -2,13 +2,14 @@
 
 A vector is approximated by a sum of one codeword from each of ``BOOKS`` full-dimensional codebooks. Codebooks are learned
 on residuals of a bounded sample; codes are found by beam search; each vector's norm is stored, as the ratio that
-stretches its approximation to its true length. Every row is indexed. The first code is also the row's cell: a
-query looks into the ``PROBES`` cells of largest inner product, scores their rows by table look-ups, and ranks the best
-``RERANK`` of each block again with the original vectors in double precision.
-
-Cells are split into blocks of about ``BLOCK`` rows, and a cell's queries likewise, so a hot cell is many tasks. Cases: vectors that
-are null, zero, of another length than most, or that hold null or non-finite components take no part; equal vectors have equal
-codes and ties go to the smaller id; with no vectors the result is empty. Ids are taken to be unique.
+stretches its approximation to its true length. Every row is indexed. The first code is also the row's cell, of which there are as many as
+the square root of the number of rows (at most ``CELLS``). A query looks into its cells of largest inner product; how many is the least
+number that finds ``FOUND`` of the sample's own nearest neighbours, so it is small where vectors lie in clusters, and most of the cells where
+they don't. Rows are scored by table look-ups, and the best ``RERANK`` of each block are ranked again with the original vectors in double precision.
+
+Cells are split into blocks of about ``BLOCK`` rows, and a cell's queries into blocks of ``ASKED``, so a hot cell is many tasks. Cases: vectors that
+are null, zero, or that hold null or non-finite components take no part; vectors of different lengths are searched apart; equal vectors have equal
+codes and ties go to the smaller id; equal rows count once, and rows that share an id are one item, with its best score; with no vectors the result is empty.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from docweave.llm.scratch import materialise, tune
 
-BOOKS, WORDS, CELLS, BEAM, SAMPLE = 12, 64, 64, 4, 16_384
-PROBES, RERANK, BLOCK = 50, 256, 4096
+BOOKS, WORDS, CELLS, BEAM, SAMPLE = 12, 64, 4096, 4, 16_384
+FOUND, RERANK, BLOCK, ASKED = 0.96, 64, 8192, 32_768
 
 
 class Codebooks:
@@ -29,7 +30,7 @@ class Codebooks:
         self.books = books
 
     @staticmethod
-    def fit(x: np.ndarray, cells: int = CELLS, words: int = WORDS, books: int = BOOKS, rounds: int = 12, seed: int = 3) -> Codebooks:
+    def fit(x: np.ndarray, cells: int = WORDS, words: int = WORDS, books: int = BOOKS, rounds: int = 12, seed: int = 3) -> Codebooks:
         rng, rest, made = np.random.default_rng(seed), x.copy(), []
         for m in range(books):
             k = min(cells if m == 0 else words, len(rest))
@@ -65,74 +66,110 @@ class Codebooks:
     def tables(self, q: np.ndarray) -> list[np.ndarray]:
         return [q @ c.T for c in self.books]
 
+    def probes(self, x: np.ndarray, k: int, found: float = FOUND, asked: int = 256) -> int:
+        """The least number of cells that hold ``found`` of the ``k`` nearest rows of ``x`` to its own first rows."""
+        q, cells = x[:asked], self.books[0]
+        score = q @ x.T
+        score[np.arange(len(q)), np.arange(len(q))] = -np.inf
+        near = np.argpartition(-score, min(k, len(x) - 1), 1)[:, : min(k, max(len(x) - 1, 1))]
+        cell = np.argmin((cells * cells).sum(1) - 2 * x @ cells.T, 1)[near]
+        place = np.argsort(np.argsort(-(q @ cells.T), 1, kind="stable"), 1)
+        need = np.sort(place[np.arange(len(q))[:, None], cell].ravel())
+        return int(need[min(int(np.ceil(found * len(need))), len(need)) - 1]) + 1
+
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+def _matrix(column: pa.Array, dim: int, kind=np.float64) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim)
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
-    """``id, v`` of the vectors that take part, and their length."""
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
-    fine = "id is not null and v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) <= 3.4028235e38D) and exists(v, x -> x <> 0)"
-    v = v.where(fine)
-    most = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dim = int(most["n"]) if most else 0
-    return v.where(F.size("v") == dim), dim
+def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """``id, v`` of the vectors that take part."""
+    kind = "array<float>" if dict(vectors.dtypes)[vec_col] == "array<float>" else "array<double>"
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("v"))
+    return v.where("id is not null and v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, probes: int = PROBES, rerank: int = RERANK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, probes: int | None = None, rerank: int = RERANK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row whose id is divisible by ``every`` its ``k`` nearest other rows."""
     spark = vectors.sparkSession
     tune(spark)
-    v, dim = usable(vectors, id_col, vec_col)
-    schema = "query_id long, rank int, vec_id long, score double"
-    sample = v.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow() if dim else None
-    if sample is None or not sample.num_rows:
-        return spark.createDataFrame([], schema)
-    index = Codebooks.fit(_matrix(sample.column(0).combine_chunks(), dim))
+    v = usable(vectors, id_col, vec_col)
+    largest = F.max(F.array_max(F.transform("v", lambda x: F.abs(x).cast("double"))))
+    kinds = v.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.col("id") % every == 0).alias("asks"), largest.alias("largest")).where("asks").orderBy("dim").collect()
+    found = None
+    for r in kinds:
+        # codes are in single precision: very large or small numbers are scaled
+        scale = 1.0 if 1e-9 < r["largest"] < 1e9 else 1 / max(r["largest"], 1e-300)
+        some = _within(v.where(F.size("v") == r["dim"]), r["dim"], r["n"], scale, k, every, probes, rerank)
+        found = some if found is None else found.union(some)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _within(v: DataFrame, dim: int, n: int, scale: float, k: int, every: int, probes: int | None, rerank: int) -> DataFrame:
+    """The same among vectors of one length; blocks' best, not ranked yet."""
+    spark, kind = v.sparkSession, dict(v.dtypes)["v"]
+    sample = v.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
+    small = (_matrix(sample.column(0).combine_chunks(), dim) * scale).astype(np.float32)
+    index = Codebooks.fit(small, min(CELLS, max(1, round(n**0.5))))
+    look = probes or index.probes(small, k)
     shared = spark.sparkContext.broadcast(index)
     books, cells = len(index.books), len(index.books[0])
 
+    def scaled(column):
+        return (_matrix(column, dim) * scale).astype(np.float32)
+
     def encoded(batches):
         for b in batches:
-            codes, ratio = shared.value.encode(_matrix(b.column(1), dim)) if b.num_rows else (np.zeros((0, books), np.int16), np.zeros(0))
+            codes, ratio = shared.value.encode(scaled(b.column(1))) if b.num_rows else (np.zeros((0, books), np.int16), np.zeros(0))
             flat = pa.array([c.tobytes() for c in codes], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes[:, 0].astype(np.int32)), flat, pa.array(ratio.astype(np.float32))], ["id", "v", "cell", "code", "ratio"])
 
     def probed(batches):
         for b in batches:
-            q = _matrix(b.column(1), dim)
-            best = np.argsort(-(q @ shared.value.books[0].T), 1, kind="stable")[:, :probes].astype(np.int32)
+            best = np.argsort(-(scaled(b.column(1)) @ shared.value.books[0].T), 1, kind="stable")[:, :look].astype(np.int32)
             offs = pa.array(np.arange(0, best.size + 1, best.shape[1], dtype=np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offs, pa.array(best.ravel()))], ["id", "v", "cells"])
 
-    rows = materialise(v.mapInArrow(encoded, "id long, v array<float>, cell int, code binary, ratio float"), "codes")
-    asked = v.where(F.col("id") % every == 0).mapInArrow(probed, "id long, v array<float>, cells array<int>").select("id", "v", F.explode("cells").alias("cell"))
+    rows = materialise(v.mapInArrow(encoded, f"id long, v {kind}, cell int, code binary, ratio float"), "codes")
+    asked = v.where(F.col("id") % every == 0).mapInArrow(probed, f"id long, v {kind}, cells array<int>").select("id", "v", F.explode("cells").alias("cell"))
     asked = materialise(asked, "asked")
 
-    def cuts(df):
+    def cuts(df, block):
         size = {r["cell"]: r["count"] for r in df.groupBy("cell").count().collect()}
-        return F.element_at(F.array(*[F.lit(-(-size.get(c, 0) // BLOCK) or 1) for c in range(cells)]), F.col("cell") + 1)
+        return F.element_at(F.array(*[F.lit(-(-size.get(c, 0) // block) or 1) for c in range(cells)]), F.col("cell") + 1)
 
-    row_cuts, asked_cuts = cuts(rows), cuts(asked)
+    row_cuts, asked_cuts = cuts(rows, BLOCK), cuts(asked, ASKED)
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     rows = rows.withColumn("rb", F.pmod(F.xxhash64("id"), row_cuts).cast("int")).withColumn("qb", spread(asked_cuts))
     asked = asked.withColumn("qb", F.pmod(F.xxhash64("id"), asked_cuts).cast("int")).withColumn("rb", spread(row_cuts))
 
+    def single(table):
+        """Ids in order, their vectors, and which rows these are; equal rows once."""
+        ids, x = table.column("id").to_numpy(), _matrix(table.column("v").combine_chunks(), dim)
+        order = np.lexsort((*x.T[::-1], ids))
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[order][1:] != ids[order][:-1]) | (x[order][1:] != x[order][:-1]).any(1)
+        return ids[order[new]], x[order[new]], order[new]
+
     def scan(key, left, right):
-        left = left.combine_chunks().sort_by("id")
-        ids, qid = left.column("id").to_numpy(), right.column("id").to_numpy()
         out = []
-        if len(ids) and len(qid):
-            x, q = (_matrix(t.column("v").combine_chunks(), dim) for t in (left, right))
-            codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.int16).reshape(-1, books)
-            ratio = left.column("ratio").to_numpy()
+        if left.num_rows and right.num_rows:
+            ids, x, at = single(left)
+            qid, q, _ = single(right)
+            codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.int16).reshape(-1, books)[at]
+            ratio = left.column("ratio").to_numpy()[at]
             for a in range(0, len(qid), 256):
                 part = q[a : a + 256]
-                near = sum(t[:, codes[:, m]] for m, t in enumerate(shared.value.tables(part))) * ratio
+                near = (sum(t[:, codes[:, m]] for m, t in enumerate(shared.value.tables((part * scale).astype(np.float32)))) * ratio).astype(np.float64)
+                # equal codes are told apart by their place, that is by id
+                near -= np.arange(len(ids)) * (np.abs(near).max() * 1e-12)
                 near[qid[a : a + 256, None] == ids] = -np.inf
-                top = np.argsort(-near, 1, kind="stable")[:, :rerank]
-                exact = np.einsum("qd,qrd->qr", part.astype(np.float64), x[top].astype(np.float64))
+                top = np.argpartition(-near, rerank, 1)[:, :rerank] if rerank < len(ids) else np.broadcast_to(np.arange(len(ids)), near.shape)
+                exact = np.einsum("qd,qrd->qr", part, x[top])
                 exact[np.take_along_axis(near, top, 1) == -np.inf] = -np.inf
                 order = np.lexsort((ids[top], -exact), axis=1)[:, :k]
                 score = np.take_along_axis(exact, order, 1)
@@ -142,6 +179,4 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, probes: int = PROBE
         return pa.table({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
 
     by = ["cell", "rb", "qb"]
-    found = rows.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(scan, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return rows.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(scan, "query_id long, vec_id long, score double")
