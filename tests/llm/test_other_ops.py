@@ -30,6 +30,38 @@ def test_html_template_by_host(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_keeps_what_repeats_in_the_article(spark):
+    def page(k):
+        return k, f"http://h.example/{k}", f"<body><div><p>Site</p></div><article><h2>Ingredients</h2><p>item {k} one</p><h2>Method</h2><p>step {k}</p><div class='share-price'>Up 3</div><div class=search-results>None</div><p class='notice-of-award'>Given</p><div class='share-buttons left'>Share</div><div class=adBox>Buy</div></article></body>"
+
+    for n in (2, 9, 12):
+        got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame([page(k) for k in range(n)], "page_id long, url string, html string")).collect()}
+        assert got == {k: f"Ingredients\n\nitem {k} one\n\nMethod\n\nstep {k}\n\nUp 3\n\nNone\n\nGiven" for k in range(n)}
+
+
+def test_html_template_by_layout(spark):
+    def page(k, layout):
+        menu = f"<div class=box{layout}><p>Menu {layout}</p><p>All of {layout} in one place, day by day and week by week</p></div>"
+        own = f"<div class=c{layout}><p>Story {k} has words of its own</p><p>No {k * 7} tells more of them</p></div>"
+        return k, f"http://h.example/{k}", f"<html><body><div class=top><p>Site name</p></div>{menu}{own}<div class=low{layout}><span>Kept rights of {layout}</span></div></body></html>"
+
+    rows = [page(k, "a" if k % 2 else "b") for k in range(8)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Story {k} has words of its own\n\nNo {k * 7} tells more of them" for k in range(8)}
+    # flat pages have no element that holds the slot, only what lies between template text
+    rows = [(k, "http://flat/", f"<body><p>Site name</p><p>Story {k} is long enough to be most of the page</p><p>Again</p><p>End {k}</p><p>All rights kept</p></body>") for k in range(3)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Story 1 is long enough to be most of the page\n\nAgain\n\nEnd 1"
+
+
+def test_html_nesting():
+    page = {t: (t * 10, "/x" if t % 2 else None) for t in range(1, 10)}
+    assert html.nested(page, [[1, 2, 9], [3, 4]]) == {1, 2, 9, 3, 4}
+    assert html.nested(page, [[1, 2, 9], [4, 3]]) == {1, 2, 9}  # out of order
+    assert html.nested(page, [[1, 5], [3, 4, 6]]) == {1, 5, 3, 4}  # cut at 5; 6 has no element
+    assert html.nested(page, [[1, 77]]) == set()
+
+
 def test_html_copies_and_small_hosts(spark):
     def page(host, k, story, tag="div"):
         return k, f"http://{host}/{k}", f"<html><body><div class=top><p>Site name</p></div><{tag} class=c><h2>Head</h2><p>{story}</p><p>By the desk</p></{tag}><div><p>All rights kept</p></div></body></html>"
