@@ -1,13 +1,15 @@
 """Personal data in whole texts, with DataFrame functions only.
 
 Regular expressions propose spans; checks confirm them (octets at most 255, Luhn, mod-97, digit counts); context words
-in the ``NEAR`` characters before a span adjust its score. The four base kinds keep every confirmed span whatever its
+in the ``NEAR`` characters before and after a span adjust its score. The four base kinds keep every confirmed span whatever its
 score; the added kinds ``iban`` and ``ssn`` keep spans of ``LEAST`` or more.
 
 The patterns are the defining ones rewritten without changing a match so that the JVM needs linear time and no
 recursion on long texts: possessive repeats, and look-behinds that start a match only where a run starts or the
 last match ended (``\\G``).
 
+Places come from prefix sums by blocks, so a text of many spans needs time near linear in its length.
+
 Cases: null text counts as empty and has no spans. Offsets are code points, end exclusive. Kinds may overlap;
 redaction merges what overlaps. Other input columns are kept by ``redact`` and ignored by ``find``.
 """
@@ -86,28 +88,40 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of the value, which is evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _prefix(values: Column, total, zero: int = 0, block: int = 128) -> Column:
+    """The running totals of an array of numbers, by blocks."""
+
+    def whole(v):
+        parts = F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / block).cast("int")), lambda b: F.aggregate(F.slice(v, b * block + 1, F.lit(block)), F.lit(zero), total))
+        before = lambda p: F.transform(p, lambda _, b: F.aggregate(F.slice(p, F.lit(1), b), F.lit(zero), total))
+        own = lambda o: F.transform(v, lambda _, i: total(o[F.floor(i / block).cast("int")], F.aggregate(F.slice(v, i - i % block + 1, i % block + 1), F.lit(zero), total)))
+        return _let(parts, lambda p: _let(before(p), own))
+
+    return _let(values, whole)
+
+
 def _spans(kind: str, text: Column) -> Column:
     """The kind's confirmed spans: array of struct(kind, start, end, score)."""
     pattern = F.lit(PROPOSE[kind])
-    found, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, PROPOSE[kind], -1)
-    row = "struct<m:string,start:int,end:int>"
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["found"])
-        return F.struct(end.alias("at"), F.concat(acc["rows"], F.array(F.struct(x["found"].alias("m"), start.alias("start"), end.alias("end")))).alias("rows"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{row}>").alias("rows"))
-    rows = F.aggregate(F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("found"), g.alias("gap"))), zero, step)["rows"]
-    rows = F.filter(rows, lambda x: _valid(kind, x["m"]))
+    def placed(found, gaps):
+        lengths = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.length(m) + F.length(g))
+        # there is one gap more than matches
+        near = lambda i: F.concat_ws(" ", F.when(i > 0, F.substring(gaps[F.greatest(i - 1, F.lit(0))], -NEAR, NEAR)), F.substring(gaps[i], -NEAR, NEAR), F.substring(gaps[i + 1], 1, NEAR))
+        row = lambda ends: F.transform(found, lambda m, i: F.struct(m.alias("m"), (ends[i] - F.length(m)).alias("start"), ends[i].alias("end"), near(i).alias("near")))
+        return _let(_prefix(lengths, lambda a, x: a + x), row)
 
     def scored(x):
-        from_ = F.greatest(x["start"] - NEAR, F.lit(0))
-        before = F.lower(F.substring(text, from_ + 1, x["start"] - from_))
-        score = F.when(before.rlike(CONTEXT[kind]), F.least(F.lit(1.0), F.lit(PRIOR[kind] + 0.3))).otherwise(F.lit(PRIOR[kind]))
+        score = F.when(F.lower(x["near"]).rlike(CONTEXT[kind]), F.least(F.lit(1.0), F.lit(PRIOR[kind] + 0.3))).otherwise(F.lit(PRIOR[kind]))
         return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score.alias("score"))
 
-    rows = F.transform(rows, scored)
+    rows = _let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: _let(F.split(text, PROPOSE[kind], -1), lambda gaps: placed(found, gaps)))
+    rows = F.transform(F.filter(rows, lambda x: _valid(kind, x["m"])), scored)
     if kind not in BASE:
         rows = F.filter(rows, lambda x: x["score"] >= LEAST)
     may = text.contains(MAY[kind]) if kind in MAY else text.rlike(MAY_MATCH[kind])
@@ -136,22 +150,31 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", piece: int = 512) -> DataFrame:
     """``docs`` with each span of personal data replaced by its kind in brackets; overlapping spans are replaced
     together, under the first one's kind. A null text stays null; all other columns stay as they are."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     spans = F.array_sort(F.transform(F.concat(*[_spans(k, text) for k in PROPOSE]), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind"))))
-
-    def step(acc, x):
-        apart = x["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], -x["back"]).alias("at"), F.when(apart, piece).otherwise(acc["out"]).alias("out"))
-
     name = "_spans"
     while name in docs.columns:
         name += "_"
-    done = F.aggregate(F.col(name), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    clean = F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+
+    def clean(spans, pieces, reach):
+        """``reach``: the greatest end of each span and those before it."""
+
+        def between(a, z):
+            some = F.slice(pieces, F.floor(a / piece).cast("int") + 1, (F.floor(z / piece) - F.floor(a / piece)).cast("int") + 1)
+            return F.substring(F.array_join(some, ""), a % piece + 1, z - a)
+
+        before = lambda i: F.when(i > 0, reach[F.greatest(i - 1, F.lit(0))]).otherwise(F.lit(0))
+        rows = F.transform(spans, lambda x, i: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), before(i).alias("at")))
+        apart = F.filter(rows, lambda x: x["start"] >= x["at"])
+        marked = F.transform(apart, lambda x: F.concat(between(x["at"], x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
+        return F.concat(F.array_join(marked, ""), between(F.element_at(reach, -1), F.length(text)))
+
+    ends = F.transform(F.col(name), lambda x: -x["back"])
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
+    done = _let(F.col(name), lambda s: _let(pieces, lambda p: _let(_prefix(ends, lambda a, x: F.greatest(a, x)), lambda reach: clean(s, p, reach))))
     marked = docs.withColumn(name, spans)
     # a text without spans is not copied
-    return marked.withColumn(text_col, F.when(F.size(name) > 0, clean).otherwise(F.col(text_col))).drop(name).select(*docs.columns)
+    return marked.withColumn(text_col, F.when(F.size(name) > 0, done).otherwise(F.col(text_col))).drop(name).select(*docs.columns)
