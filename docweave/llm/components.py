@@ -19,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
         return e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
     def hashed(e):
-        row = e.agg(F.count("*").alias("n"), F.sum((F.xxhash64("a", "b") % 1000003)).alias("h")).first()
+        row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
         return row["n"], row["h"]
 
     e = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")

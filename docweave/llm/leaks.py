@@ -23,7 +23,8 @@ from docweave.llm.scratch import materialise, tune
 
 BUCKETS, RANK, EXTRA, STEP, SIZES = 4096, 32, 8, 12, (24, 36, 48)
 COSINE, SHARE, COVER, ANSWERS, LEAST, ITEMS = 0.6, 0.35, 0.6, 5, 5, 4096
-MASK = np.uint16(BUCKETS - 1)
+#: words are told apart by 32 bits of their hash; 12 others of them pick the word's row in the matrix
+WORD, HIGH, MASK = np.uint32, np.uint32(16), np.uint32(BUCKETS - 1)
 LETTERS = (kernel.CLASS == 1).astype(np.uint8)
 
 
@@ -32,14 +33,18 @@ def _ids(batches):
         data, offs = kernel.column_bytes(b.column(1))
         for i, j in kernel.blocks(offs):
             t = kernel.Tokens(data, offs[i : j + 1], LETTERS)
-            ids = (t.hash >> np.uint64(48)).astype(np.uint16)
+            ids = (t.hash >> np.uint64(32)).astype(WORD)
             cut = t.offs.tolist()
             yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array([ids[p:q].tobytes() for p, q in zip(cut, cut[1:])], pa.binary())], ["doc_id", "ids"])
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offs = kernel.column_bytes(column)
-    return data[offs[0] : offs[-1]].view(np.uint16), (offs - offs[0]) // 2
+    return data[offs[0] : offs[-1]].view(WORD), (offs - offs[0]) // WORD().itemsize
+
+
+def _rows(words: np.ndarray) -> np.ndarray:
+    return (words >> HIGH & MASK).astype(np.uint16)
 
 
 def _pieces(offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +89,7 @@ def _spectrum(ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             start, _ = _pieces(offs, size)
             if len(start):
                 piece = np.repeat(np.arange(len(start)), np.diff(np.concatenate((start, [len(words)]))))
-                key = piece.astype(np.int32) << 12 | (words & MASK)
+                key = piece.astype(np.int32) << 12 | _rows(words)
                 key.sort()
                 key = key[np.concatenate(([True], key[1:] != key[:-1]))]
                 total[:-1] += np.bincount(key & (BUCKETS - 1), minlength=BUCKETS)
@@ -104,7 +109,7 @@ def _spectrum(ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             first, _ = _pieces(offs, size)
             if not len(first):
                 continue
-            w = words & MASK
+            w = _rows(words)
             y = _sums(shared.value, w, first, size)
             piece = np.repeat(np.arange(len(first)), np.diff(np.concatenate((first, [len(w)]))))
             order = np.argsort(w, kind="stable")
@@ -147,11 +152,11 @@ class Items:
         self.kinds = np.zeros(len(rows))
         self.answer = []
         for k, w in enumerate(self.words):
-            f = w & MASK
+            f = _rows(w)
             self.bag[k, f] = True
             self.kinds[k] = self.bag[k].sum()
             rare = np.unique(w)
-            self.answer.append(set(rare[np.argsort(-idf[rare & MASK], kind="stable")][:ANSWERS].tolist()))
+            self.answer.append(set(rare[np.argsort(-idf[_rows(rare)], kind="stable")][:ANSWERS].tolist()))
             size = next((s for s in SIZES if len(w) <= s + STEP // 2), SIZES[-1])
             for a in range(0, max(len(w) - SIZES[-1] // 2, 1), SIZES[-1]):
                 v = basis[f[a : a + SIZES[-1]]].sum(0)
@@ -184,7 +189,8 @@ def matches(words: np.ndarray, offs: np.ndarray, items: Items, cosine: float = C
     start, owner = _pieces(offs, STEP)
     if not len(start):
         return []
-    sums = _sums(items.basis, words & MASK, start, STEP)
+    rows = _rows(words)
+    sums = _sums(items.basis, rows, start, STEP)
     found: dict[tuple[int, int], float] = {}
     tried: set[tuple[int, int, int]] = set()
     length = np.array([len(w) for w in items.words])
@@ -203,7 +209,7 @@ def matches(words: np.ndarray, offs: np.ndarray, items: Items, cosine: float = C
                 # how many kinds of the item's words the window has
                 at = start[r][:, None] + np.arange(size)
                 inside = at < offs[owner[r] + 1][:, None]
-                f = np.sort(np.where(inside, words[np.minimum(at, len(words) - 1)] & MASK, BUCKETS).astype(np.int32), 1)
+                f = np.sort(np.where(inside, rows[np.minimum(at, len(words) - 1)], BUCKETS).astype(np.int32), 1)
                 fresh = np.ones(f.shape, bool)
                 fresh[:, 1:] = f[:, 1:] != f[:, :-1]
                 hit = items.bag[k[:, None], np.minimum(f, BUCKETS - 1)] & fresh & (f < BUCKETS)
@@ -231,7 +237,7 @@ def search(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, cover:
     ids = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).mapInArrow(_ids, "doc_id long, ids binary"), "ids")
     idf, basis = _spectrum(ids)
     schema = "doc_id long, item_id long, cover double"
-    asked = benchmark.select(F.col("item_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).mapInArrow(_ids, "doc_id long, ids binary").where(F.length("ids") >= 2 * LEAST)
+    asked = benchmark.select(F.col("item_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).mapInArrow(_ids, "doc_id long, ids binary").where(F.length("ids") >= WORD().itemsize * LEAST)
     out, block, held = [], [], 0
 
     def sweep(rows):
@@ -249,7 +255,7 @@ def search(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, cover:
 
     # the benchmark comes in order, a bounded block at a time
     for r in asked.orderBy("doc_id", "ids").toLocalIterator():
-        words = np.frombuffer(r["ids"], np.uint16)
+        words = np.frombuffer(r["ids"], WORD)
         block.append((r["doc_id"], words))
         held += 1 + len(words) // SIZES[-1]
         if held >= ITEMS:

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from docweave.llm import kernel
 from docweave.llm.scratch import tune
@@ -72,14 +73,15 @@ def bucket_of(id_col: str, parts: int) -> Column:
 def labelled_features(docs: DataFrame, labels: DataFrame, label_cols: list[str], sample: int = SAMPLE) -> list[tuple]:
     """At most ``sample`` rows of (labels, buckets, values), collected: the bound is on rows, a row holds at most a text's
     distinct n-grams. Rows without a label, without a document, or with null labels don't count; several labels
-    of one document are averaged."""
+    of one document are averaged, and of documents that share an id one counts, that of the smallest text."""
     tune(docs.sparkSession)
     known = labels.where(" and ".join(f"{c} is not null" for c in ["doc_id", *label_cols]))
     known = known.groupBy("doc_id").agg(*[F.avg(F.col(c).cast("double")).alias(f"_y{k}") for k, c in enumerate(label_cols)])
     known = known.withColumn("_order", F.xxhash64("doc_id")).orderBy("_order", "doc_id").limit(sample)
     ys = [f"_y{k}" for k in range(len(label_cols))]
     # the sample's size is bounded by its parameter, so it may be broadcast
-    rows = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(known), "doc_id").select("_order", F.array(*ys).alias("y"), "text")
+    rows = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy("doc_id", "_order", *ys).agg(F.min("text").alias("text")).select("_order", F.array(*ys).alias("y"), "text")
 
     def run(batches):
         for b in batches:
@@ -98,23 +100,27 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label_cols: list[str],
     return [(r["y"], np.frombuffer(r["i"], np.int32), np.frombuffer(r["x"], np.float32)) for r in got]
 
 
-def scores(docs: DataFrame, models: list[tuple[np.ndarray, float]]) -> DataFrame:
-    """``doc_id, p`` (each model's probability) and ``n_words`` of every document's whole text."""
+def scores(docs: DataFrame, models: list[tuple[np.ndarray, float]], text_col: str = "text", whole: bool = False) -> DataFrame:
+    """``doc_id, p`` (each model's probability) and ``n_words`` of every document's whole text; with ``whole`` all columns, and ``p`` and ``n_words``."""
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(models)
+    docs = docs if whole else docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col)
+    at = docs.columns.index(text_col)
+    kept = [k for k in range(len(docs.columns)) if whole or k != at]
 
     def run(batches):
         for b in batches:
-            data, offs = kernel.column_bytes(b.column(1))
+            data, offs = kernel.column_bytes(b.column(at))
             for i, j in kernel.blocks(offs):
                 owner, bucket, value, words = features(data, offs[i : j + 1])
                 p = np.empty((j - i, len(shared.value)))
                 for k, (w, bias) in enumerate(shared.value):
                     p[:, k] = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w[bucket] * value, j - i) + bias, -35, 35)))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], flat, pa.array(words.astype(np.int64))], ["doc_id", "p", "n_words"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k)[i:j] for k in kept), flat, pa.array(words.astype(np.int64))], [*(b.schema.names[k] for k in kept), "p", "n_words"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, p array<double>, n_words long")
+    fields = [StructField(f.name, f.dataType) for f in (docs.schema.fields[k] for k in kept)]
+    return docs.mapInArrow(run, StructType([*fields, StructField("p", ArrayType(DoubleType())), StructField("n_words", LongType())]))
 
 
 def keep(docs: DataFrame, model: tuple[np.ndarray, float], least: float) -> DataFrame:

@@ -14,6 +14,8 @@ of the token budget, by default all tokens of the input.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +28,7 @@ TARGETS = {"good": 0.88, "toxic": 0.06, "junk": 0.06}
 ROUNDS, TOLERANCE = 25, 1e-6
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, sample: int = linear.SAMPLE) -> DataFrame:
-    """``doc_id, n_tokens, p_good, p_toxic, p_junk``: one-against-rest models, scaled to sum to 1."""
+def _models(docs: DataFrame, labels: DataFrame, sample: int) -> list:
     known = labels.where("quality is not null and toxic is not null").select(
         "doc_id",
         F.when(F.expr("quality = 1 and toxic = 0"), 1).otherwise(0).alias("good"),
@@ -35,10 +36,17 @@ def posteriors(docs: DataFrame, labels: DataFrame, sample: int = linear.SAMPLE)
         F.when(F.expr("quality = 0 and toxic = 0"), 1).otherwise(0).alias("junk"),
     )
     rows = linear.labelled_features(docs, known, list(DOMAINS), sample)
-    models = [linear.ftrl([(y[k], i, x) for y, i, x in rows]) for k in range(len(DOMAINS))]
-    p = linear.scores(docs, models)
+    return [linear.ftrl([(y[k], i, x) for y, i, x in rows]) for k in range(len(DOMAINS))]
+
+
+def _shares() -> list:
     total = sum(F.col("p")[k] for k in range(len(DOMAINS)))
-    return p.select("doc_id", F.col("n_words").alias("n_tokens"), *[(F.col("p")[k] / total).alias(f"p_{d}") for k, d in enumerate(DOMAINS)])
+    return [F.col("n_words").alias("n_tokens"), *[(F.col("p")[k] / total).alias(f"p_{d}") for k, d in enumerate(DOMAINS)]]
+
+
+def posteriors(docs: DataFrame, labels: DataFrame, sample: int = linear.SAMPLE) -> DataFrame:
+    """``doc_id, n_tokens, p_good, p_toxic, p_junk``: one-against-rest models, scaled to sum to 1."""
+    return linear.scores(docs, _models(docs, labels, sample)).select("doc_id", *_shares())
 
 
 def _rate(steps: list[np.ndarray]):
@@ -48,8 +56,8 @@ def _rate(steps: list[np.ndarray]):
     return r
 
 
-def fit_rates(table: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None) -> list[np.ndarray]:
-    """The steps whose fold is every document's rate."""
+def fit_rates(table: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None) -> tuple[list[np.ndarray], float]:
+    """The steps whose fold is every document's rate, and the largest miss of a target as a share of the budget."""
     share = np.array([(targets or TARGETS)[d] for d in DOMAINS])
     share = share / share.sum()
     steps: list[np.ndarray] = []
@@ -65,7 +73,7 @@ def fit_rates(table: DataFrame, targets: dict[str, float] | None = None, budget:
         got = [float(x or 0) for x in t.agg(F.sum("n_tokens"), *sums, *gram).first()]
         total = got[0] if budget is None else float(budget)
         if not got[0] or not total:
-            return []
+            return [], 0.0
         error = (np.array(got[1 : 1 + k]) - share * total) / total
         miss = float(np.abs(error).max())
         if miss < best:
@@ -83,21 +91,24 @@ def fit_rates(table: DataFrame, targets: dict[str, float] | None = None, budget:
         last = np.linalg.solve(g + 1e-9 * np.eye(k), error)
         damp = 1.0
         steps.append(last)
-    return best_steps
+    if best > TOLERANCE:
+        warnings.warn(f"mixing misses a target by {best:.2g} of the token budget", stacklevel=2)
+    return best_steps, best
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None) -> DataFrame:
     """``doc_id, n_tokens``, the posteriors and ``rate``: how often each document is to be read."""
     table = materialise(posteriors(docs, labels), "posteriors")
-    return table.withColumn("rate", _rate(fit_rates(table, targets, budget)))
+    return table.withColumn("rate", _rate(fit_rates(table, targets, budget)[0]))
 
 
 def with_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """Documents with an id and a rate above zero, their columns, and ``rate``, ``domain`` and ``n_tokens``, which replace columns of these names."""
-    rates = mix(docs, labels, targets).where("rate > 0")
+    """Documents with a rate above zero, their columns, and ``rate``, ``domain`` and ``n_tokens``, which replace columns of these names."""
+    own = [f"_{k}" for k in range(len(docs.columns))]
+    scored = linear.scores(docs.toDF(*own), _models(docs, labels, linear.SAMPLE), own[docs.columns.index("text")], whole=True)
+    table = materialise(scored.select(*own, *_shares()), "posteriors")
     best = F.greatest(*[f"p_{d}" for d in DOMAINS])
     domain = F.coalesce(*[F.when(F.col(f"p_{d}") == best, F.lit(d)) for d in DOMAINS])
-    rates = rates.select(F.col("doc_id").alias("_id"), "rate", domain.alias("domain"), "n_tokens")
-    rates = rates.select("_id", *[F.col(c).alias(f"_mix_{c}") for c in ("rate", "domain", "n_tokens")])
-    own = [c for c in docs.columns if c not in ("rate", "domain", "n_tokens")]
-    return docs.join(rates, docs["doc_id"] == rates["_id"]).select(*[docs[c] for c in own], *[rates[f"_mix_{c}"].alias(c) for c in ("rate", "domain", "n_tokens")])
+    table = table.withColumn("rate", _rate(fit_rates(table, targets)[0])).where("rate > 0").withColumn("domain", domain)
+    added = ("rate", "domain", "n_tokens")
+    return table.select(*[F.col(o).alias(c) for o, c in zip(own, docs.columns) if c not in added], *added)

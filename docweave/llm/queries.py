@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,8 +43,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{scratch.folder(spark)}/rollup-{uuid.uuid4().hex}"
-    return rollup.count_table(_read(spark, sf_dir, "documents"), path, rollup.Tokenizer())
+    path = scratch.place(spark, "rollup")
+    return rollup.history(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), path, rollup.Tokenizer())
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

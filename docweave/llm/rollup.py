@@ -48,30 +48,42 @@ class Tokenizer:
         return [len(self._encoding.encode_ordinary(t)) for t in texts]
 
 
+PART = "struct<sign:int,source:string,lang:string>"
+
+
+def _part(sign: int, source: str, lang: str):
+    return F.struct(F.lit(sign).alias("sign"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"))
+
+
+def inserts(docs: DataFrame) -> DataFrame:
+    """``parts, text``: each document counted to its group."""
+    return docs.select(F.array(_part(1, "source", "lang")).alias("parts"), "text")
+
+
 def signed(changes: DataFrame) -> DataFrame:
-    """``sign, source, lang, text`` from changes with ``kind`` insert, delete or revise, new values in ``source, lang, text`` and
-    old ones in ``old_source, old_lang, old_text``. Other kinds count as nothing."""
-    new = changes.where("kind in ('insert', 'revise')").select(F.lit(1).alias("sign"), "source", "lang", "text")
-    old = changes.where("kind in ('delete', 'revise')")
-    return new.union(old.select(F.lit(-1), F.col("old_source"), F.col("old_lang"), F.col("old_text")))
+    """``parts, text`` from changes with ``kind`` insert, delete or revise, new values in ``source, lang, text`` and
+    old ones in ``old_source, old_lang, old_text``. Other kinds count as nothing. A revision that leaves the text alone has its tokens counted once."""
+    same = F.expr("kind = 'revise' and text <=> old_text")
+    new, old = _part(1, "source", "lang"), _part(-1, "old_source", "old_lang")
+    one = changes.where(F.expr("kind = 'insert'") | F.expr("kind = 'revise'")).select(F.when(same, F.array(new, old)).otherwise(F.array(new)).alias("parts"), "text")
+    return one.union(changes.where(F.expr("kind = 'delete'") | (F.expr("kind = 'revise'") & ~same)).select(F.array(old), F.col("old_text")))
 
 
 def deltas(rows: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """One signed row a group from ``sign, source, lang, text``."""
+    """One signed row a group from ``parts, text``."""
     spark = rows.sparkSession
     tune(spark)
     shared = spark.sparkContext.broadcast(tokenizer)
 
     def run(batches):
         for b in batches:
-            _, offs = kernel.column_bytes(b.column(3))
+            _, offs = kernel.column_bytes(b.column(1))
             for i, j in kernel.blocks(offs, 4 << 20):
-                texts = [t or "" for t in b.column(3)[i:j].to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[i:j], b.column(1)[i:j], b.column(2)[i:j], pa.array(shared.value.count(texts), pa.int64()), pa.array([len(t) for t in texts], pa.int64())], ["sign", "source", "lang", "tokens", "chars"]
-                )
+                texts = [t or "" for t in b.column(1)[i:j].to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(shared.value.count(texts), pa.int64()), pa.array([len(t) for t in texts], pa.int64())], ["parts", "tokens", "chars"])
 
-    counted = rows.select(F.col("sign").cast("int").alias("sign"), "source", "lang", "text").mapInArrow(run, "sign int, source string, lang string, tokens long, chars long")
+    counted = rows.select(F.col("parts").cast(f"array<{PART}>").alias("parts"), "text").mapInArrow(run, f"parts array<{PART}>, tokens long, chars long")
+    counted = counted.select(F.explode("parts").alias("p"), "tokens", "chars").select("p.*", "tokens", "chars")
     return counted.groupBy("source", "lang").agg(
         F.sum(F.col("sign").cast("long")).alias("n_docs"), F.sum(F.col("sign") * F.col("tokens")).alias("n_tokens"), F.sum(F.col("sign") * F.col("chars")).alias("n_chars")
     ).select("source", "lang", F.lit(tokenizer.version).alias("tokenizer"), *SUMS)
@@ -137,5 +149,24 @@ class Rollup:
 def count_table(docs: DataFrame, path: str, tokenizer: Tokenizer, batch_id: str = "documents") -> DataFrame:
     """Commit all of ``docs`` as inserts, once, and give the totals."""
     rollup = Rollup(docs.sparkSession, path)
-    rollup.commit(batch_id, docs.select(F.lit(1).alias("sign"), "source", "lang", "text"), tokenizer)
+    rollup.commit(batch_id, inserts(docs), tokenizer)
+    return rollup.totals()
+
+
+def history(docs: DataFrame, others: DataFrame, path: str, tokenizer: Tokenizer) -> DataFrame:
+    """The totals of ``docs`` after a history of all kinds of change: the documents come without a language and get it by a revision, ``others`` (a
+    column ``text``) come and are withdrawn, and every batch is given twice."""
+    rollup = Rollup(docs.sparkSession, path)
+    none = F.lit(None).cast("string")
+    others = others.select("text", F.lit("others").alias("source"), none.alias("lang"))
+    change = lambda df, kind: df.select(F.lit(kind).alias("kind"), "source", "lang", "text", F.col("source").alias("old_source"), F.col("lang").alias("old_lang"), F.col("text").alias("old_text"))
+    steps = {
+        "documents": inserts(docs.withColumn("lang", none)),
+        "others": inserts(others),
+        "languages": signed(change(docs, "revise").withColumn("old_lang", none)),
+        "others withdrawn": signed(change(others, "delete")),
+    }
+    for name, rows in steps.items():
+        rollup.commit(name, rows, tokenizer)
+        rollup.commit(name, rows, tokenizer)
     return rollup.totals()

@@ -1,7 +1,7 @@
 """Tables written to the folder that the driver and all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, a single
-machine) is a temporary folder made, once per session.
+The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and driver and executors are one process (tests, a single
+machine) is a temporary folder made, once per session; a cluster without the setting is refused.
 """
 
 from __future__ import annotations
@@ -18,29 +18,39 @@ _written: list[str] = []
 def folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        app = spark.sparkContext.applicationId
-        base = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="docweave-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="docweave-"))
     return base.rstrip("/")
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which ``release`` deletes."""
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, name)
     schema = df.schema
     df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete what ``materialise`` wrote in this process; call once results have been consumed."""
+    """Delete what operators wrote in this process; call once results have been consumed, as these still read it."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
-def tune(spark: SparkSession) -> None:
-    """Small Arrow batches: a batch of very long texts must still fit beside the executor's heap."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+def tune(spark: SparkSession, rows: int = 512) -> None:
+    """Small Arrow batches: a batch of very long texts must still fit beside the executor's heap. A smaller setting of the caller stays; theirs can't
+    be put back here, as plans run after their operator has returned."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))

@@ -146,6 +146,35 @@ def test_rollup_commits_once(spark, tmp_path):
     assert r.commit("none", rollup.signed(changes.where("false")), tok) and totals(r.totals()) == after
 
 
+def test_rollup_of_a_random_history(spark, tmp_path):
+    """Inserts, deletes, revisions and repeated batches against a plain dictionary of the texts that are left."""
+    rng = np.random.default_rng(2)
+    tok, path = rollup.Tokenizer(), f"file://{tmp_path}/h"
+    r = rollup.Rollup(spark, path)
+    held, key, batches = {}, 0, []
+    draw = lambda: (str(rng.choice(["a", "b"])), [None, "en", "de"][rng.integers(3)], ["", "one two", "x" * 5000, "zwei Wörter mehr"][rng.integers(4)])
+    schema = "kind string, source string, lang string, text string, old_source string, old_lang string, old_text string, sign int"
+    for n in range(3):
+        rows = []
+        for _ in range(30):
+            kind = rng.choice(["insert", "delete", "revise", "odd"]) if held else "insert"
+            old = held.pop(int(rng.choice(list(held)))) if kind in ("delete", "revise") else (None, None, None)
+            new = draw() if kind != "delete" else (None, None, None)
+            if kind == "revise" and rng.random() < 0.5:
+                new = (*new[:2], old[2])
+            rows.append((str(kind), *new, *old, 9))
+            if kind in ("insert", "revise"):
+                held[key := key + 1] = new
+        batches.append((f"b{n}", rollup.signed(spark.createDataFrame(rows, schema))))
+        for name, df in batches:  # each again and again
+            assert r.commit(name, df, tok) == (name == f"b{n}")
+    want = {}
+    for source, lang, text in held.values():
+        w = want.setdefault((source, lang), [0, 0, 0])
+        w[0], w[1], w[2] = w[0] + 1, w[1] + tok.count([text])[0], w[2] + len(text)
+    assert totals(r.totals()) == {k: tuple(v) for k, v in want.items()}
+
+
 def test_rollup_of_the_table(spark):
     got = queries.op8_rollup(spark, "/root/testdata/sf0.001").agg(F.sum("n_docs"), F.sum("n_chars")).first()
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").agg(F.count("*"), F.sum(F.length("text"))).first()

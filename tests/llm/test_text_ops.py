@@ -337,6 +337,50 @@ def test_mixing_meets_targets(spark):
         assert abs(sums[d] / sums["n"] - mixing.TARGETS[d]) < 1e-3
 
 
+def test_fitting_sample_is_bounded_in_rows(spark):
+    docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("word "), "id").alias("text")).union(spark.createDataFrame([(k, f"text {k}") for k in range(2, 40)], "doc_id long, text string"))
+    known = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    got = linear.labelled_features(docs, known, ["quality"], 20)
+    assert len(got) <= 20
+    assert len(linear.labelled_features(docs, known, ["quality"], 100)) == 39
+
+
+def nonnegative_least_squares(a, t, rounds=20_000):
+    """The smallest residual of ``a @ r = t`` over r >= 0, by accelerated projected gradient."""
+    r = y = np.ones(a.shape[1])
+    step, m = 1 / np.linalg.norm(a, 2) ** 2, 1.0
+    for _ in range(rounds):
+        new = np.maximum(0, y - step * a.T @ (a @ y - t))
+        m, old = (1 + np.sqrt(1 + 4 * m * m)) / 2, m
+        y, r = new + (old - 1) / m * (new - r), new
+    return np.linalg.norm(a @ r - t)
+
+
+def test_mixing_against_least_squares(spark):
+    rng = np.random.default_rng(5)
+    for k, target in enumerate([{"good": 0.6, "toxic": 0.3, "junk": 0.1}, {"good": 0.98, "toxic": 0.01, "junk": 0.01}]):
+        p = rng.dirichlet([0.6, 0.5, 0.5], 60)
+        n = rng.integers(5, 400, 60)
+        table = spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(60)], "doc_id long, n_tokens long, p_good double, p_toxic double, p_junk double")
+        steps, miss = mixing.fit_rates(table, target)
+        rates = np.array([r["r"] for r in table.withColumn("r", mixing._rate(steps)).orderBy("doc_id").collect()])
+        a, t = (p * n[:, None]).T / n.sum(), np.array([target[d] for d in mixing.DOMAINS])
+        assert rates.min() >= 0 and miss == pytest.approx(np.abs(a @ rates - t).max(), abs=1e-9)
+        assert np.linalg.norm(a @ rates - t) <= nonnegative_least_squares(a, t) + 1e-4
+
+
+def test_mixing_tells_what_it_misses(spark):
+    table = spark.createDataFrame([(1, 10, 0.5, 0.25, 0.25), (2, 30, 0.5, 0.25, 0.25)], "doc_id long, n_tokens long, p_good double, p_toxic double, p_junk double")
+    with pytest.warns(UserWarning, match="misses"):
+        assert mixing.fit_rates(table, {"good": 0.9, "toxic": 0.1, "junk": 0.0})[1] > 0.1
+
+
+def test_mixing_of_repeated_ids(spark, labels):
+    docs = spark.createDataFrame([(1, "a b c", "x")] * 50 + [(2, None, "y")], "doc_id long, text string, p_good string")
+    got = mixing.with_rates(docs, labels, {"good": 1, "toxic": 1, "junk": 1}).collect()
+    assert len(got) == 51 and {r["p_good"] for r in got} == {"x", "y"}
+
+
 def test_ftrl_learns_a_rule():
     rng = np.random.default_rng(0)
     rows = [(float(y), np.array([1 if y else 2, 3 + int(rng.integers(50))]), np.ones(2)) for y in rng.integers(0, 2, 400)]
@@ -433,5 +477,43 @@ def test_leaks_finds_paraphrases(spark, odd, empty):
     assert leaks.search(empty, bench).count() == 0 and leaks.search(docs, bench.where("false")).count() == 0
 
 
+def test_leaks_recall_of_paraphrases(spark):
+    """Paraphrases with words swapped for others, put in or left out, against the exact subsequence over every place of every text."""
+    rng = np.random.default_rng(12)
+    vocab = np.array([f"term{k}" for k in range(4000)])
+    draw = lambda n: list(rng.choice(vocab, n, p=weight))
+    weight = 1 / np.arange(5, 4005)
+    weight /= weight.sum()
+    items = {k: draw(int(rng.integers(12, 60))) for k in range(60)}
+    texts, want = {}, set()
+    for d in range(240):
+        text = draw(int(rng.integers(20, 200)))
+        k, how, share = d % 60, d // 60, rng.choice([0.08, 0.15, 0.25])
+        item = list(items[k])
+        for at in sorted(rng.choice(len(item), max(1, int(len(item) * share)), replace=False).tolist(), reverse=True):
+            if how == 0:
+                item[at] = f"own{rng.integers(10**6)}"
+            elif how == 1:
+                item.insert(at, f"own{rng.integers(10**6)}")
+            elif how == 2:
+                del item[at]
+        if how < 3:
+            at = int(rng.integers(len(text)))
+            text[at:at] = item
+        texts[d] = " ".join(text)
+    number = {w: k for k, w in enumerate({w for t in [*texts.values()] for w in t.split()} | {w for i in items.values() for w in i})}
+    for d, t in texts.items():
+        words = [number[w] for w in t.split()]
+        for k, item in items.items():
+            seq = [number[w] for w in item]
+            if any(leaks.common(seq, words[a : a + 2 * len(seq)]) >= leaks.COVER * len(seq) for a in range(0, len(words), max(len(seq) // 4, 1))):
+                want.add((d, k))
+    planted = {(d, d % 60) for d in range(180)}
+    found = {(r["doc_id"], r["item_id"]) for r in leaks.search(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame([(k, " ".join(i)) for k, i in items.items()], "item_id long, text string")).collect()}
+    print(len(want), len(planted & want), len(found & want) / len(want), len(found - want))
+    assert len(found & planted & want) >= 0.9 * len(planted & want)
+    assert len(found - want - planted) <= 0.02 * len(found)
+
+
 def test_common_subsequence():
     assert leaks.common([1, 2, 3, 4], [9, 1, 3, 8, 4]) == 3 and leaks.common([1], []) == 0
