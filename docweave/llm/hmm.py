@@ -5,9 +5,9 @@ text). The ``HEAD`` most frequent words are symbols of their own; every other wo
 symbols, picked by its bytes' shape, and has within it an add-one probability from its own count. So a word's
 emission is ``b(symbol) * q(word | symbol)``, which sums to one over all words and an unknown one.
 
-Baum-Welch runs over all training texts, each as a whole: partitions emit expected counts of one E-step, aggregated by symbol. Tokens
-lie in rows of an array that all advance together; a row takes over the forward message of the row before and the backward
-message of the row after, and is run again until these no longer move, so a text has the counts of one pass from its start to its
+Baum-Welch runs over all training texts, each as a whole: partitions emit expected counts of one E-step, aggregated by symbol. Texts
+lie in rows of an array that all advance together. A text too long for a row goes on in the next one, which takes over its forward message
+and gives back its backward message, and is run again until these no longer move, so every text has the counts of one pass from its start to its
 end. Rounds stop when the log probability of the training texts hardly grows. Texts are then scored by the scaled forward recursion, exactly and over
 their whole length.
 
@@ -36,8 +36,9 @@ STATES, HEAD, LOOKUP = 8, 16_384, 262_144
 #: most Baum-Welch rounds, and the gain in log probability, as a share of it, below which they stop
 ROUNDS, GAIN = 6, 1e-3
 SHAPES, END_HASH = 24, 0x6A09E667F3BCC909
-#: tokens in one row of an array and rows in one numpy step; messages between rows are exact up to ``SAME``
-CHUNK, ROWS, GROUP, SAME = 512, 512, 4_000_000, 1e-13
+#: tokens in one row of an array and rows in one numpy step, texts that are cut into rows, and tokens sorted by their texts' length at once; messages
+#: between rows are exact up to ``SAME``
+CHUNK, ROWS, LONG, GROUP, SAME = 512, 512, 4096, 4_000_000, 1e-13
 LOG10 = math.log(10)
 
 
@@ -154,6 +155,44 @@ def _binary_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]].view(np.uint16), (offs - offs[0]) // 2
 
 
+def _layouts(symbols: np.ndarray, offs: np.ndarray, fill: int):
+    """Tokens in rows that advance together, as (symbol, whether a text starts) by place and row. Texts of up to ``LONG`` tokens of like length lie whole in rows;
+    longer ones, one after the other, in rows of ``CHUNK``."""
+    size = np.diff(offs)
+    order = np.argsort(-size, kind="stable")
+    order = order[size[order] > 0]
+    n_long = int(np.searchsorted(-size[order], -LONG, "left"))
+
+    def cut(chosen):
+        """Groups of at most ``CHUNK * ROWS`` tokens; a longer text is a group of its own."""
+        ends = np.concatenate(([0], np.cumsum(size[chosen])))
+        for i, j in kernel.blocks(ends, CHUNK * ROWS):
+            yield chosen[i:j]
+
+    for group in cut(order[:n_long]):
+        seq = np.concatenate([symbols[offs[i] : offs[i + 1]] for i in group])
+        n = -(-len(seq) // CHUNK)
+        sym, new = np.full(n * CHUNK, fill, np.int32), np.zeros(n * CHUNK, bool)
+        sym[: len(seq)] = seq
+        new[np.concatenate(([0], np.cumsum(size[group])))[:-1]] = new[len(seq) :] = True
+        yield np.ascontiguousarray(sym.reshape(n, CHUNK).T), np.ascontiguousarray(new.reshape(n, CHUNK).T)
+    for group in cut(order[n_long:]):
+        long = max(int(size[group[0]]), CHUNK)
+        rows, at = [], long
+        for i in group.tolist():
+            if at + size[i] > long:
+                rows.append([])
+                at = 0
+            rows[-1].append((at, i))
+            at += size[i]
+        sym, new = np.full((long, len(rows)), fill, np.int32), np.zeros((long, len(rows)), bool)
+        for r, row in enumerate(rows):
+            for at, i in row:
+                sym[at : at + size[i], r] = symbols[offs[i] : offs[i + 1]]
+                new[at, r] = True
+        yield sym, new | (sym == fill)
+
+
 class Model:
     """Start, transition and emission probabilities; ``emit`` has a row a symbol."""
 
@@ -170,94 +209,88 @@ class Model:
     def expected(self, symbols: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected counts of starts, transitions and emissions over whole texts, and the texts' log probability."""
         k, size = len(self.start), len(self.emit)
-        starts, moves, emits, logs = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), 0.0
-        table, back = np.ascontiguousarray(self.emit.T), self.move
-        onward = np.ascontiguousarray(self.move.T)
-        for a, z in kernel.blocks(offs, CHUNK * ROWS):
-            seq = symbols[offs[a] : offs[z]]
-            n = -(-len(seq) // CHUNK)
-            pad = n * CHUNK - len(seq)
-            if not n:
-                continue
-            fresh = np.zeros(n * CHUNK, bool)
-            fresh[offs[a:z][np.diff(offs[a : z + 1]) > 0] - offs[a]] = True
-            fresh[len(seq) :] = True
-            # token t of row r is token r * CHUNK + t of the block; a row goes on where the one before it ended
-            sym = np.concatenate((seq, np.zeros(pad, seq.dtype))).reshape(n, CHUNK).T
-            new = np.ascontiguousarray(fresh.reshape(n, CHUNK).T)
-            seen = np.stack([t[sym] for t in table], 1)  # token, state, row
-            last, some = max(CHUNK - pad, 0), np.flatnonzero(new.any(1))
-            some = frozenset(some.tolist())
-            alpha, scale = np.empty((CHUNK, k, n)), np.empty((CHUNK, n))
-
-            def forward(rows, entry):
-                whole = len(rows) == n
-                now = entry
-                for t in range(CHUNK):
-                    prior = onward @ now
-                    if t in some:
-                        prior = np.where(new[t] if whole else new[t, rows], self.start[:, None], prior)
-                    now = prior * (seen[t] if whole else seen[t][:, rows])
+        total = [np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), 0.0]
+        # symbol ``size`` fills rows up; every state emits it, and it follows no other token
+        table = np.ascontiguousarray(np.vstack((self.emit, np.ones(k))).T)
+        for sym, new in _layouts(symbols, offs, size):
+            for n, part in enumerate(self._counts(table, sym, new)):
+                total[n] = total[n] + part
+        return total[0], total[1] * self.move, total[2], total[3]
+
+    def _counts(self, table: np.ndarray, sym: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """The same of tokens in rows that advance together: ``sym`` and whether a text starts, by place and row. A row whose first token starts no text goes on
+        where the row before it ended. Transitions aren't multiplied by their probability yet."""
+        k, size, (long, n) = len(self.start), table.shape[1] - 1, sym.shape
+        back, onward = self.move, np.ascontiguousarray(self.move.T)
+        some = frozenset(np.flatnonzero(new.any(1)).tolist())
+        seen = np.empty((long, k, n))
+        for s in range(k):
+            np.take(table[s], sym, out=seen[:, s], mode="clip")
+        alpha, scale = np.empty((long, k, n)), np.empty((long, n))
+
+        def forward(rows, entry):
+            now = entry
+            for t in range(long):
+                prior = onward @ now
+                if t in some:
+                    prior = np.where(new[t] if rows is None else new[t, rows], self.start[:, None], prior)
+                if rows is None:
+                    now = np.multiply(prior, seen[t], out=alpha[t])
+                    c = np.add.reduce(now, 0, out=scale[t])
+                    now /= c
+                else:
+                    now = prior * seen[t][:, rows]
                     c = now.sum(0)
                     now /= c
-                    if whole:
-                        alpha[t], scale[t] = now, c
-                    else:
-                        alpha[t][:, rows], scale[t, rows] = now, c
-
-            # every row starts from the end of the row before it; rows are run again until no row's start moves
-            entry = np.repeat(self.start[:, None], n, 1)
-            rows = np.arange(n)
-            while len(rows):
-                forward(rows, entry[:, rows])
-                following = np.concatenate((self.start[:, None], alpha[-1][:, :-1]), 1)
-                moved = (np.abs(following - entry).max(0) > SAME) & ~new[0]
-                entry, rows = following, np.flatnonzero(moved)
-            logs += float(np.log(scale).sum() - (np.log(scale[last:, -1]).sum() if pad else 0.0))
-            real = np.ones((CHUNK, n), bool)
-            if pad:
-                real[last:, -1] = False
-            inverse = 1 / scale
-
-            def backward(rows, beta):
-                """The messages to the row before."""
-                whole = len(rows) == n
-                for t in range(CHUNK - 1, -1, -1):
-                    pick = (lambda x: x) if whole else (lambda x: x[..., rows])
-                    ahead = pick(seen[t]) * beta * pick(inverse[t])
-                    beta = back @ ahead
-                    if t in some:
-                        beta = np.where(pick(new[t]), 1.0, beta)
-                return beta
-
-            # likewise from the end; a text's last token has nothing after it
-            leave = np.ones((k, n))
-            first = np.ones((k, n))
-            rows = np.arange(n)
-            while len(rows):
-                first[:, rows] = backward(rows, leave[:, rows])
-                before = np.concatenate((first[:, 1:], np.ones((k, 1))), 1)
-                moved = np.abs(before - leave).max(0) > SAME * np.maximum(before.max(0), 1)
-                leave, rows = before, np.flatnonzero(moved)
-            beta = leave
-            for t in range(CHUNK - 1, -1, -1):
-                ahead = seen[t] * beta * inverse[t]
-                prior = alpha[t - 1] if t else entry
-                gamma = alpha[t] * beta
-                if t >= last:
-                    gamma *= real[t]
-                if t in some:
-                    starts += gamma[:, new[t] & real[t]].sum(1)
-                    ahead = np.where(new[t], 0.0, ahead)
-                moves += prior @ ahead.T
-                beta = back @ ahead
+                    alpha[t][:, rows], scale[t, rows] = now, c
+
+        def messages(rows, beta):
+            """What rows tell the row before them."""
+            pick = (lambda x: x) if rows is None else (lambda x: x[..., rows])
+            for t in range(long - 1, -1, -1):
+                beta = back @ (pick(seen[t]) * beta * pick(inverse[t]))
                 if t in some:
-                    beta = np.where(new[t], 1.0, beta)
-                alpha[t] = gamma
-            flat = sym.ravel()
-            for s in range(k):
-                emits[:, s] += np.bincount(flat, alpha[:, s].ravel(), size)
-        return starts, moves * self.move, emits, logs
+                    beta = np.where(pick(new[t]), 1.0, beta)
+            return beta
+
+        # every row starts from the end of the row before it; rows are run again until no row's start moves
+        entry = np.repeat(self.start[:, None], n, 1)
+        forward(None, entry)
+        while True:
+            following = np.concatenate((self.start[:, None], alpha[-1][:, :-1]), 1)
+            rows = np.flatnonzero((np.abs(following - entry).max(0) > SAME) & ~new[0])
+            entry = following
+            if not len(rows):
+                break
+            forward(rows, entry[:, rows])
+        inverse = 1 / scale
+        # likewise from the end; a text's last token has nothing after it
+        leave = np.ones((k, n))
+        if not new[0].all():
+            first = messages(None, leave)
+            while True:
+                before = np.concatenate((first[:, 1:], np.ones((k, 1))), 1)
+                rows = np.flatnonzero(np.abs(before - leave).max(0) > SAME * np.maximum(before.max(0), 1))
+                leave = before
+                if not len(rows):
+                    break
+                first[:, rows] = messages(rows, leave[:, rows])
+        starts, moves, emits, beta = np.zeros(k), np.zeros((k, k)), np.empty((size, k)), leave
+        for t in range(long - 1, -1, -1):
+            ahead = seen[t] * beta
+            ahead *= inverse[t]
+            alpha[t] *= beta
+            if t in some:
+                starts += alpha[t][:, new[t] & (sym[t] < size)].sum(1)
+                ahead[:, new[t]] = 0.0
+            moves += (alpha[t - 1] if t else entry) @ ahead.T
+            beta = back @ ahead
+            if t in some:
+                beta[:, new[t]] = 1.0
+        flat = sym.ravel()
+        for s in range(k):
+            emits[:, s] = np.bincount(flat, alpha[:, s].ravel(), size + 1)[:size]
+        return starts, moves, emits, float(np.log(scale).sum())
 
     def log10(self, symbols: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Each text's exact log10 probability, by the scaled forward recursion; texts advance together, longest first."""
@@ -276,6 +309,26 @@ class Model:
         return out
 
 
+def _grouped(batches):
+    """The texts of about ``GROUP`` tokens at a time."""
+    parts, held = [], 0
+    for b in batches:
+        symbols, offs = _binary_column(b.column(0))
+        if len(symbols):
+            parts.append((symbols, offs))
+            held += len(symbols)
+        if held > GROUP:
+            yield _joined(parts)
+            parts, held = [], 0
+    if parts:
+        yield _joined(parts)
+
+
+def _joined(parts):
+    starts = np.cumsum([0] + [len(s) for s, _ in parts])
+    return np.concatenate([s for s, _ in parts]), np.concatenate([o[:-1] + a for (_, o), a in zip(parts, starts)] + [starts[-1:]])
+
+
 def _e_step(encoded: DataFrame, model: Model, states: int) -> tuple[Model, float]:
     """One Baum-Welch round over all training rows of ``encoded``: the new model, and the log probability of the texts by the old one."""
     shared = encoded.sparkSession.sparkContext.broadcast(model)
@@ -283,12 +336,10 @@ def _e_step(encoded: DataFrame, model: Model, states: int) -> tuple[Model, float
 
     def run(batches):
         starts, moves, emits, logs, any_row = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), np.zeros(k), False
-        for b in batches:
-            symbols, offs = _binary_column(b.column(0))
-            if len(symbols):
-                any_row = True
-                for total, part in zip((starts, moves, emits, logs), shared.value.expected(symbols, offs)):
-                    total += part
+        for symbols, offs in _grouped(batches):
+            any_row = True
+            for total, part in zip((starts, moves, emits, logs), shared.value.expected(symbols, offs)):
+                total += part
         if any_row:
             # rows 0 to size - 1 are symbols, then come the starts, the transitions and the log probability
             rows = np.vstack((emits, starts[None], moves, logs[None]))
@@ -332,10 +383,7 @@ def score(docs: DataFrame, states: int = STATES, head: int = HEAD, lookup: int =
         held: list[pa.RecordBatch] = []
 
         def flush():
-            parts = [_binary_column(b.column(0)) for b in held]
-            starts = np.cumsum([0] + [len(s) for s, _ in parts])
-            offs = np.concatenate([o[:-1] + a for (_, o), a in zip(parts, starts)] + [starts[-1:]])
-            logs = shared.value.log10(np.concatenate([s for s, _ in parts]), offs)
+            logs = shared.value.log10(*_joined([_binary_column(b.column(0)) for b in held]))
             at = 0
             for b in held:
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(logs[at : at + b.num_rows])], [*b.schema.names[1:], "hmm"])

@@ -442,8 +442,9 @@ def test_hmm_counts_are_of_whole_texts(monkeypatch):
     rng = np.random.default_rng(3)
     k, size = 4, 30
     m = hmm.Model(rng.dirichlet(np.ones(k)), 0.97 * np.eye(k) + 0.03 * rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(size), k).T)
-    for rows in (512, 64, 7):
+    for rows, long in ((1024, 4096), (512, 0), (64, 100), (7, 0)):
         monkeypatch.setattr(hmm, "CHUNK", rows)
+        monkeypatch.setattr(hmm, "LONG", long)
         for lens in ([1000], [1], [5, 70, 1, 64, 0, 128, 3000, 2], [63, 1, 512, 512]):
             texts = [rng.integers(0, size, n).astype(np.uint16) for n in lens]
             got = m.expected(np.concatenate(texts), np.cumsum([0, *lens]))
