@@ -39,12 +39,25 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that no plan still to be run reads; only whole ones, read as they were written."""
+    for t in tables:
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            known = next((w for w in _written if path.rstrip("/").endswith(w.split(":", 1)[-1].lstrip("/"))), None)
+            if known:
+                _written.remove(known)
+                _delete(t.sparkSession, known)
+
+
 def release(spark: SparkSession) -> None:
     """Delete what operators wrote in this process; call once results have been consumed, as these still read it."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _written.pop())
 
 
 def tune(spark: SparkSession, rows: int = 512) -> None:
