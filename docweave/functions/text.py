@@ -130,7 +130,63 @@ def block_index(url: Column) -> Column:
 
 
 def record_of(url: Column) -> Column:
-    return F.nullif(F.regexp_extract(url, "/record/([^/?#]+)", 1), F.lit(""))
+    """The record of a block's address, ``/record/<id>/preview``."""
+    return F.nullif(F.regexp_extract(url, "/record/([^/]+)/preview", 1), F.lit(""))
+
+
+#: fixed value: a Markdown link whose target is a short reference or a block's address
+CITED = r"\[([^\]]*?)\]\((ref\d+|[^)]*?/record/[^)]*?preview[^)]*?block(?:Group)?Index=\d+[^)]*?)\)"
+
+
+def cited(c: Column) -> Column:
+    """Targets of the citations in a text, in order."""
+    return F.transform(F.regexp_extract_all(c, F.lit(CITED), F.lit(2)), lambda x: strip(x))
+
+
+def resolved(targets: Column, refs: Column) -> Column:
+    """Targets with short references replaced by the addresses that the map ``refs`` has for them."""
+    return F.transform(targets, lambda x: F.coalesce(F.try_element_at(refs, x), x))
+
+
+def citation_numbers(targets: Column, known: Column) -> Column:
+    """Numbers from 1 of those addresses that are in the array ``known``, in order of first sight: a map."""
+    one = F.filter(F.array_distinct(targets), lambda x: F.array_contains(known, x))
+    return F.map_from_entries(F.transform(one, lambda x, i: F.struct(x, i + 1)))
+
+
+def renumbered(c: Column, numbers: Column, refs: Column) -> Column:
+    """The text with citations as ``[number](address)``; those without a number go."""
+    gaps = F.split(c, CITED, -1)
+    n = lambda x: F.try_element_at(numbers, x)
+    links = F.transform(resolved(cited(c), refs), lambda x: F.when(n(x).isNotNull(), F.concat(F.lit("["), n(x).cast("string"), F.lit("]("), x, F.lit(")"))).otherwise(""))
+    return F.array_join(F.zip_with(gaps, links, lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
+
+
+def quoted(c: Column) -> Column:
+    """A value as a JSON string, null as ``null``."""
+    safe = F.replace(F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
+    return F.coalesce(F.concat(F.lit('"'), safe, F.lit('"')), F.lit("null"))
+
+
+def numbered_rows(names: Column, rows: Column) -> Column:
+    """``Row 1: {...}`` and so on, a row being an array of cells, as JSON with an indent of two."""
+    cell = lambda k, v: F.concat(F.lit("  "), quoted(k), F.lit(": "), quoted(v))
+    one = lambda row, i: F.concat(F.lit("Row "), (i + 1).cast("string"), F.lit(": {\n"), F.array_join(F.zip_with(names, row, cell), ",\n"), F.lit("\n}"))
+    return F.array_join(F.transform(rows, one), "\n")
+
+
+def tool_summary(c: Column) -> Column:
+    """What a bot's answer says it did: struct(action, target, result, data_available); null if it did nothing."""
+    low = F.lower(c)
+    has = lambda *words: low.rlike("|".join(words))
+    action = F.when(has("retrieved", "fetched"), "fetch").when(has("created", "sent", "posted"), "create/send").when(low.contains("found"), "search")
+    data = F.when(low.contains("messages"), "messages").when(low.contains("channels"), "channels").when(low.contains("users"), "users")
+    sent = F.when(low.contains("message"), "message").when(low.contains("post"), "post")
+    n = F.nullif(F.regexp_extract(low, r"\b([0-9]+)\s+(?:channel|message|item|result)", 1), F.lit(""))
+    target = F.when(action == "fetch", data).when(action == "create/send", sent)
+    result = F.when(action == "search", F.concat(n, F.lit(" items")))
+    available = F.coalesce((action == "fetch") & data.isNotNull(), F.lit(False)) | result.isNotNull()
+    return F.when(action.isNotNull(), F.struct(action.alias("action"), target.alias("target"), result.alias("result"), available.alias("data_available")))
 
 
 def link_targets(c: Column) -> Column:
@@ -139,8 +195,11 @@ def link_targets(c: Column) -> Column:
 
 
 def url_title(url: Column) -> Column:
-    last = F.try_element_at(F.filter(F.split(F.regexp_replace(F.regexp_replace(url, "[?#].*$", ""), "^[a-z]+://[^/]*", ""), "/"), lambda x: x != ""), F.lit(-1))
-    return F.initcap(strip(F.regexp_replace(F.regexp_replace(last, r"\.[A-Za-z0-9]{1,5}$", ""), "[-_]+", " ")))
+    """The last part of the path with hyphens and underscores as spaces, else the host, else the address itself; without one ``Untitled``."""
+    parts = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://([^/?#]*))?([^?#]*)"
+    host = F.nullif(F.regexp_extract(url, parts, 1), F.lit(""))
+    last = F.element_at(F.split(F.regexp_replace(F.regexp_extract(url, parts, 2), "^/+|/+$", ""), "/"), -1)
+    return F.when(F.coalesce(url, F.lit("")) == "", "Untitled").otherwise(F.coalesce(F.nullif(strip(F.translate(last, "-_", "  ")), F.lit("")), host, url))
 
 
 def last_header(rows: Column, column: int) -> Column:
@@ -175,13 +234,3 @@ def decode_json(c: Column, schema: str) -> Column:
 
 def gmail_url(c: Column, email: Column) -> Column:
     return F.replace(c, F.lit("{user.email}"), email)
-
-
-def mdx_to_md(c: Column) -> Column:
-    """Accordions become headings, notes quotes; other JSX tags go, blank lines collapse."""
-    c = F.regexp_replace(c, r'(?s)<Accordion\s+title="([^"]*)"[^>]*>\s*(.*?)\s*</Accordion>', "\n\n### $1\n\n$2\n")
-    c = F.regexp_replace(c, r"(?s)<Info[^>]*>\s*(.*?)\s*</Info>", "\n\n> **Note:**\n>\n> $1\n")
-    c = F.regexp_replace(c, r"(?s)</?(CodeGroup|AccordionGroup)[^>]*>", "\n\n")
-    c = F.regexp_replace(c, r"(?s)<[A-Z][A-Za-z0-9]*(\s[^>]*)?/>", "")
-    c = F.regexp_replace(c, r"(?s)</?[A-Z][A-Za-z0-9]*(\s[^>]*)?>", "")
-    return strip(F.regexp_replace(c, "\n{3,}", "\n\n"))

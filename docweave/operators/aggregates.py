@@ -41,7 +41,7 @@ def facets(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def validation(nodes: DataFrame, key: str, has_record: Column, valid: Column) -> DataFrame:
-    """Totals, and the invalid nodes' count; the ids themselves are in ``invalid``."""
+    """Totals and whether all are valid; ``invalid_nodes`` lists those that aren't."""
     bad = ~(has_record & valid)
     return nodes.agg(
         F.count("*").alias("total"),
@@ -52,6 +52,12 @@ def validation(nodes: DataFrame, key: str, has_record: Column, valid: Column) ->
     )
 
 
+def invalid_nodes(nodes: DataFrame, key: str, has_record: Column, valid: Column) -> DataFrame:
+    """The nodes that ``validation`` counts as invalid, and why; rows, as a list has no bound."""
+    why = F.when(~F.coalesce(has_record, F.lit(False)), "no record").when(~F.coalesce(valid, F.lit(False)), "not valid")
+    return nodes.select(key, why.alias("reason")).where("reason is not null")
+
+
 def box_union(boxes: DataFrame, by: list[str]) -> DataFrame:
     """The smallest box around each group's boxes (``x0, y0, x1, y1``) and its corners from the top left clockwise."""
     got = boxes.groupBy(*by).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
@@ -67,18 +73,23 @@ def index_ranges(df: DataFrame, by: list[str], index: str) -> DataFrame:
 
 
 def merge_metadata(chunks: DataFrame, by: str, order: str, scalars: list[str], lists: list[str], best: list[str]) -> DataFrame:
-    """One row a group. Scalars become their distinct non-null values in order of first sight (one value: it alone), lists their
-    ordered distinct union, ``best`` fields their maximum."""
-
-    def ordered(c: str) -> Column:
-        rows = F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("v")))))
-        return F.transform(rows, lambda x: x["v"])
-
-    return chunks.groupBy(by).agg(
-        *[F.array_distinct(ordered(c)).alias(c) for c in scalars],
-        *[F.array_distinct(F.flatten(ordered(c))).alias(c) for c in lists],
-        *[F.max(c).alias(c) for c in best],
-    )
+    """One row a group. A scalar field gives ``<name>`` if all its non-null values are equal, else null and ``<name>_all``, its distinct values in
+    order of first sight; lists give their ordered distinct union, ``best`` fields their maximum. Values are made distinct before they are gathered."""
+    out = chunks.groupBy(by).agg(*[F.max(c).alias(c) for c in best]) if best else chunks.select(by).distinct()
+
+    def distinct(rows: DataFrame, value: Column) -> DataFrame:
+        one = rows.groupBy(by, value.alias("_v")).agg(F.min("_o").alias("_o")).where("_v is not null")
+        return one.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_v"))), lambda x: x["_v"]).alias("_all"))
+
+    for c in scalars:
+        got = distinct(chunks.select(by, F.struct(F.col(order)).alias("_o"), c), F.col(c))
+        got = got.select(F.col(by).alias("_by"), F.when(F.size("_all") == 1, F.col("_all")[0]).alias(c), F.when(F.size("_all") > 1, F.col("_all")).alias(f"{c}_all"))
+        out = out.join(got, out[by].eqNullSafe(got["_by"]), "left").drop("_by")
+    for c in lists:
+        rows = chunks.select(by, order, F.posexplode(c).alias("_p", c)).select(by, F.struct(order, "_p").alias("_o"), c)
+        got = distinct(rows, F.col(c)).select(F.col(by).alias("_by"), F.col("_all").alias(c))
+        out = out.join(got, out[by].eqNullSafe(got["_by"]), "left").drop("_by")
+    return out
 
 
 def cache_statistics(lookups: DataFrame, hit: Column, expired: Column) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+from collections.abc import Callable
 from functools import reduce
-from operator import or_
+from operator import and_, or_
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STRATEGIES = ("merge", "replace", "keep")
@@ -121,3 +126,94 @@ def append_version(versions: DataFrame, new: DataFrame, key: str, content: str)
 def roll_back(versions: DataFrame, key: str, content: str, version: int) -> DataFrame:
     """The old content as a new version, so that history stays."""
     return append_version(versions, at_version(versions, key, version).select(key, content), key, content)
+
+
+def upsert_records(tables: dict[str, DataFrame], new: DataFrame, base: list[str], typed: dict[str, list[str]], key: str = "record_id", kind: str = "record_type") -> dict[str, DataFrame]:
+    """The ``records`` table, each type's side table and the ``is_of_type`` edges after an upsert of whole records. ``typed`` gives the columns of each type's table."""
+    out = {"records": upsert(tables["records"], new.select(key, kind, *base), [key])}
+    for name, columns in typed.items():
+        out[name] = upsert(tables[name], new.where(F.col(kind) == name).select(key, *columns), [key])
+    edges = new.where(F.col(kind).isin(*typed)).select(F.concat(F.lit("records/"), F.col(key).cast("string")).alias("src"), F.concat_ws("/", F.col(kind), F.col(key).cast("string")).alias("dst"))
+    out["is_of_type"] = tables["is_of_type"].union(edges.distinct().join(tables["is_of_type"], ["src", "dst"], "left_anti"))
+    return out
+
+
+def delete_edges_of(edges: DataFrame, src: Any = None, dst: Any = None, kinds: list[str] = (), src_collection: str | None = None, dst_collection: str | None = None) -> DataFrame:
+    """Edges but those from a node, to a node, of some kinds, or between collections (``src`` and ``dst`` being ``collection/key``); conditions given together must all hold. Without any none goes."""
+    parts = [F.col(c) == v for c, v in (("src", src), ("dst", dst)) if v is not None]
+    parts += [F.col("kind").isin(*kinds)] if kinds else []
+    parts += [F.split_part(F.col(c), F.lit("/"), F.lit(1)) == v for c, v in (("src", src_collection), ("dst", dst_collection)) if v]
+    return delete_where(edges, reduce(and_, parts)) if parts else edges
+
+
+class Transaction:
+    """Several tables changed together, on storage that the driver and all executors share. Each commit is one manifest that names a version of every table; readers follow the newest manifest, so
+    they see all of a commit or nothing. A second writer of the same version fails and may try again."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._jvm = spark.sparkContext._jvm
+        self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._staged: dict[str, str] = {}
+        self.version = self._newest()
+
+    def _at(self, p: str):
+        return self._jvm.org.apache.hadoop.fs.Path(p)
+
+    def _newest(self) -> int:
+        if not self._fs.exists(self._at(f"{self.path}/manifests")):
+            return -1
+        return max((int(s.getPath().getName()) for s in self._fs.listStatus(self._at(f"{self.path}/manifests")) if s.getPath().getName().isdigit()), default=-1)
+
+    def _tables(self, version: int) -> dict[str, str]:
+        return json.loads(self.spark.read.text(f"{self.path}/manifests/{version}").first()[0]) if version >= 0 else {}
+
+    def read(self, name: str) -> DataFrame:
+        """A table as of the start of this transaction."""
+        return self.spark.read.parquet(self._tables(self.version)[name])
+
+    def write(self, name: str, df: DataFrame) -> None:
+        place = f"{self.path}/data/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(place)
+        self._staged[name] = place
+
+    def commit(self) -> int:
+        if not self._staged:
+            return self.version
+        text, tmp = json.dumps({**self._tables(self.version), **self._staged}), f"{self.path}/.tmp-{uuid.uuid4().hex}"
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(tmp)
+        final = self._at(f"{self.path}/manifests/{self.version + 1}")
+        self._fs.mkdirs(final.getParent())
+        # a rename onto a folder that is there would move into it
+        if self._fs.exists(final) or not self._fs.rename(self._at(tmp), final):
+            self._fs.delete(self._at(tmp), True)
+            self.abort()
+            raise Conflict(f"version {self.version + 1} is there already")
+        self.version, self._staged = self.version + 1, {}
+        return self.version
+
+    def abort(self) -> None:
+        for place in self._staged.values():
+            self._fs.delete(self._at(place), True)
+        self._staged = {}
+
+
+class Conflict(RuntimeError):
+    pass
+
+
+def in_transaction(spark: SparkSession, path: str, change: Callable[[Transaction], None], tries: int = 3, wait: float = 0.1) -> int:
+    """Runs a change and commits it; another writer's commit in between is waited out (0.1, 0.2, 0.4 seconds) and the change is run anew. Any other error takes all of it back."""
+    for n in range(tries + 1):
+        t = Transaction(spark, path)
+        try:
+            change(t)
+            return t.commit()
+        except Conflict:
+            if n == tries:
+                raise
+            time.sleep(wait * 2**n)
+        except Exception:
+            t.abort()
+            raise
+    raise AssertionError

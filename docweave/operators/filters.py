@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
@@ -246,7 +247,24 @@ def search(df: DataFrame, term: str, columns: Iterable[str], tags: str | None =
     return df.where(hit & equals(fields))
 
 
-LISTING = {"q", "node_types", "record_types", "origins", "connector_ids", "statuses", "created", "updated", "size", "group_ids", "only_containers"}
+def search_tools(df: DataFrame, query: str | None = None, category: str | None = None, tags: Iterable[str] = (), essential_only: bool = False) -> DataFrame:
+    """Tools that are essential (if asked), of the category, with any of the tags, and with the query in their name or description, whatever its case."""
+    got = df.where(F.coalesce(F.col("essential"), F.lit(False))) if essential_only else df
+    if category:
+        got = got.where(F.col("category") == category)
+    if tags := list(tags):
+        got = got.where(F.coalesce(F.arrays_overlap(F.col("tags"), F.array(*[F.lit(t) for t in tags])), F.lit(False)))
+    return got.where(has_text(["name", "description"], query)) if query else got
+
+
+def has_tokens(column: str, query: str) -> Column:
+    """A text index's match: any word of the query is a word of the text, whatever its case."""
+    words = [w for w in re.findall(r"[^\W_]+", query.lower())]
+    own = F.regexp_extract_all(F.lower(F.col(column)), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
+    return F.coalesce(F.arrays_overlap(own, F.array(*[F.lit(w) for w in words])), F.lit(False)) if words else F.lit(False)
+
+
+LISTING = {"permissions", "source", "dates", "q", "node_types", "record_types", "origins", "connector_ids", "statuses", "created", "updated", "size", "group_ids", "only_containers"}
 
 
 def listing(df: DataFrame, names: Mapping[str, str], strict: bool = False, **wanted: Any) -> tuple[DataFrame, bool]:
@@ -256,14 +274,19 @@ def listing(df: DataFrame, names: Mapping[str, str], strict: bool = False, **wan
         raise FilterError(f"unknown parameters: {', '.join(sorted(odd))}")
     parts = []
     for key, value in wanted.items():
-        if key not in LISTING or value in (None, [], "", (None, None)) or key not in names:
+        if key == "source" and value not in ("all", "local", "connector"):
+            raise FilterError(f"no source {value!r}")
+        if key not in LISTING or value in (None, [], "", "all", (None, None)) or key not in names:
             continue
         c = F.col(names[key])
         if key == "q":
             if strict and len(value) > 1000:
                 raise FilterError("the search text is too long")
             parts.append(F.coalesce(F.lower(c).contains(value.lower()), F.lit(False)))
-        elif key in ("created", "updated", "size"):
+        elif key == "source":
+            # local records are uploaded, the others come from connectors
+            parts.append(c == "UPLOAD" if value == "local" else c == "CONNECTOR")
+        elif key in ("created", "updated", "size", "dates"):
             parts.append(between(c, *value))
         elif key == "only_containers":
             parts.append(c if value else F.lit(True))
@@ -294,6 +317,19 @@ def own_id(df: DataFrame) -> Column:
     return F.coalesce(*[F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in have], *tail)
 
 
+def knowledge_sources(df: DataFrame) -> DataFrame:
+    """``label, is_collection, type_key, connector_id, collection_ids`` of an agent's knowledge (``name, type, connector_id, filters``, a JSON text): collections
+    by their type, else connectors by their id; what is neither is left out."""
+    kind = F.trim(F.coalesce(F.col("type"), F.lit("")))
+    collection, connector = F.upper(kind) == "KB", F.nullif(F.trim(F.coalesce(F.col("connector_id"), F.lit(""))), F.lit(""))
+    groups = F.filter(F.coalesce(F.from_json("filters", "recordGroups array<string>")["recordGroups"], F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
+    type_key = F.when(~collection, F.lower(F.split_part(kind, F.lit(" "), F.lit(1))))
+    label = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.when(collection, "Knowledge Base").otherwise(F.coalesce(F.nullif(F.initcap(type_key), F.lit("")), F.lit("App Connector"))))
+    return df.where(collection | connector.isNotNull()).select(
+        label.alias("label"), collection.alias("is_collection"), type_key.alias("type_key"), F.when(~collection, connector).alias("connector_id"), F.when(collection, groups).alias("collection_ids")
+    )
+
+
 def split_sources(df: DataFrame, type_col: str, filters_json: str) -> DataFrame:
     """Knowledge sources told apart: ``is_collection``, and the record groups in their JSON filters."""
     groups = F.from_json(F.col(filters_json), "recordGroups array<string>")["recordGroups"]

@@ -36,6 +36,17 @@ def first_match(left: DataFrame, right: DataFrame, on: str, order: str, columns:
     return left.join(best, on, "left").select(*[left[c] for c in left.columns], *[F.col(f"_best.{c}").alias(c) for c in columns])
 
 
+def all_matches(left: DataFrame, right: DataFrame, on: str, columns: list[str]) -> DataFrame:
+    """Left rows with each of their right rows, or one row of nulls: the uncapped form of ``first_match``."""
+    return left.join(right.select(on, *columns), on, "left")
+
+
+def first_inner(left: DataFrame, right: DataFrame, on: str, order: str, columns: list[str]) -> DataFrame:
+    """Left rows that have a right row, with the one of the smallest ``order``."""
+    best = right.groupBy(on).agg(F.min_by(F.struct(*columns), order).alias("_best"))
+    return left.join(best, on).select(*[left[c] for c in left.columns], *[F.col(f"_best.{c}").alias(c) for c in columns])
+
+
 def with_flag(left: DataFrame, right: DataFrame, on: str, name: str) -> DataFrame:
     """Left rows and whether any right row has their key."""
     keys = right.select(on).distinct().withColumn(name, F.lit(True))
@@ -79,13 +90,18 @@ def descendants(edges: DataFrame, roots: DataFrame, depth: int = -1, most: int =
     limit = most if depth < 0 else min(depth, most)
     step = edges.select(F.col("src").alias("_child"), F.col("dst").alias("_parent"))
     seen = roots.select(F.col(roots.columns[0]).alias("node")).distinct().withColumn("hops", F.lit(0))
-    level = seen
+    level, held = seen, []
     for n in range(1, limit + 1):
         found = step.join(level, step["_parent"] == level["node"]).select(F.col("_child").alias("node")).distinct()
-        level = found.join(seen, "node", "left_anti").withColumn("hops", F.lit(n)).cache()
+        level = found.join(seen, "node", "left_anti").withColumn("hops", F.lit(n)).persist()
+        held.append(level)
         if level.isEmpty():
             break
         seen = seen.union(level)
+    if depth >= 0:
+        # a bounded walk is planned as a whole; only the emptiness tests needed the levels
+        for x in held:
+            x.unpersist()
     return seen
 
 
@@ -95,15 +111,29 @@ def within(records: DataFrame, group: str, edges: DataFrame, roots: DataFrame, d
     return records.join(below, records[group] == F.col("_group"), "left_semi")
 
 
-def accessible(user: Column | str, grants: DataFrame, members: DataFrame, inherits: DataFrame, records: DataFrame) -> DataFrame:
+def principals(user: Column | str, members: DataFrame, depth: int = 3) -> DataFrame:
+    """``principal``: the user, and what they belong to over at most ``depth`` memberships (group, team, role, organisation)."""
+    step = members.select(F.col("member").alias("_m"), "principal")
+    level = members.where(F.col("member") == user).select("principal").distinct()
+    out = level.union(members.sparkSession.range(1).select(F.lit(user).alias("principal").cast(dict(members.dtypes)["principal"])))
+    for _ in range(1, depth):
+        level = level.select(F.col("principal").alias("_p")).join(step, F.col("_p") == F.col("_m")).select("principal").distinct()
+        out = out.union(level)
+    return out.distinct()
+
+
+def accessible(user: Column | str, grants: DataFrame, members: DataFrame, inherits: DataFrame, records: DataFrame, nested: DataFrame | None = None, depth: int = 3) -> DataFrame:
     """``virtual_id, record_id``: the smallest record of each virtual id that a user may see.
 
     ``grants`` (principal, target): rights of users, groups, teams, roles, organisations or apps on records or record groups.
-    ``members`` (member, principal): what users belong to. ``inherits`` (record, target): records that take over their group's rights.
-    Ways: own or membership grants, on the record or on its group.
+    ``members`` (member, principal): what users, and groups in turn, belong to. ``inherits`` (record, target): records that take over their group's rights.
+    ``nested`` (src, dst): record groups below others, to which rights on the upper one go down. Ways: own or membership grants, on the record,
+    on its group or on a group above it.
     """
-    principals = members.where(F.col("member") == user).select("principal").union(grants.where(F.col("principal") == user).select("principal")).distinct()
-    targets = grants.join(principals, "principal", "left_semi").select("target").distinct()
+    who = principals(user, members, depth)
+    targets = grants.join(who, "principal", "left_semi").select("target").distinct()
+    if nested is not None:
+        targets = descendants(nested, targets, depth).select(F.col("node").alias("target"))
     direct = targets.select(F.col("target").alias("record_key"))
     inherited = inherits.join(targets, "target", "left_semi").select(F.col("record").alias("record_key"))
     seen = direct.union(inherited).distinct()
@@ -134,6 +164,26 @@ def expand_ranges(groups: DataFrame, ranges: str) -> DataFrame:
     return one.withColumn("index", F.explode(F.sequence(F.col("_r.start"), F.col("_r.end")))).drop("_r", ranges)
 
 
-def overlapping(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    """Pairs within one key whose half-open spans ``start``, ``end`` and ``s_start``, ``s_end`` overlap."""
-    return left.join(right, on).where("start < s_end and end > s_start")
+def overlapping(left: DataFrame, right: DataFrame, on: str, width: int | None = None) -> DataFrame:
+    """Pairs within one key whose half-open spans ``start``, ``end`` and ``s_start``, ``s_end`` overlap. With ``width`` spans are dealt over buckets of
+    time, so that a key of many spans is many groups and only neighbours meet; a pair comes from the bucket where the later of both starts."""
+    if not width:
+        return left.join(right, on).where("start < s_end and end > s_start")
+
+    def dealt(df, a, z):
+        spans = df.where(F.col(a) < F.col(z))
+        return spans.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(a) / width), F.floor((F.col(z) - 1) / width))))
+
+    got = dealt(left, "start", "end").join(dealt(right, "s_start", "s_end"), [on, "_bucket"]).where("start < s_end and end > s_start")
+    return got.where(F.floor(F.greatest("start", "s_start") / width) == F.col("_bucket")).drop("_bucket")
+
+
+def fetched(wanted: DataFrame, hits: DataFrame, records: DataFrame, blobs: DataFrame) -> DataFrame:
+    """``record_id, source, content`` for each wanted record: of the hits at hand, else of the stored content (``virtual_id, content``) of a completed record, else
+    none, which ``source`` calls unavailable."""
+    h = hits.select(F.col("record_id").alias("_h"), F.col("content").alias("_hc"))
+    r = records.where("status = 'COMPLETED'").select(F.col("record_id").alias("_r"), "virtual_id")
+    b = blobs.select("virtual_id", F.col("content").alias("_bc"))
+    got = wanted.select("record_id").distinct().join(h, F.col("record_id") == F.col("_h"), "left").join(r.join(b, "virtual_id"), F.col("record_id") == F.col("_r"), "left")
+    source = F.when(F.col("_h").isNotNull(), "hit").when(F.col("_r").isNotNull(), "stored").otherwise("unavailable")
+    return got.select("record_id", source.alias("source"), F.when(F.col("_h").isNotNull(), F.col("_hc")).otherwise(F.col("_bc")).alias("content"))

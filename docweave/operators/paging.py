@@ -13,6 +13,10 @@ MOST = 200
 SORTS = {"name": "name", "createdAt": "created_at", "updatedAt": "updated_at", "size": "size", "type": "type"}
 
 
+#: fixed values: sort fields of record listings, and the most rows of their pages
+LISTED, LISTED_MOST = {"createdAtTimestamp": "created_at", "updatedAtTimestamp": "updated_at", "recordName": "record_name", "recordType": "record_type", "origin": "origin", "indexingStatus": "status"}, 100
+
+
 def order(df: DataFrame, sort_by: str, direction: str, key: str, fields: dict[str, str] | None = None, fallback: str = "name") -> list[Column]:
     """An unknown field sorts by ``fallback``, any direction but ``asc`` is descending."""
     fields = fields or SORTS
@@ -74,3 +78,27 @@ def catalog_page(df: DataFrame, internal: str, columns: list[str], display: str,
         got = got.where(hit)
     by = [F.lower(F.col(display)), F.col(key)]
     return got.orderBy(*by) if limit <= 0 else got.orderBy(*by).offset((max(1, number) - 1) * limit).limit(limit)
+
+
+def sorted_by(df: DataFrame, *keys: tuple[str, str]) -> DataFrame:
+    """By several columns, each ``asc`` or ``desc``; nulls last."""
+    return df.orderBy(*[F.col(c).desc_nulls_last() if way == "desc" else F.col(c).asc_nulls_last() for c, way in keys])
+
+
+def in_document_order(hits: DataFrame, document: str = "virtual_id", index: str = "block_index") -> DataFrame:
+    """Hits as they stand in their documents; a hit without an index comes first."""
+    return hits.orderBy(F.col(document), F.col(index).asc_nulls_first())
+
+
+def record_listing(df: DataFrame, key: str, sort_by: str = "createdAtTimestamp", direction: str = "desc", number: int = 1, limit: int = 20) -> DataFrame:
+    """A page of a record listing. Unlike a browse page it refuses what it doesn't know."""
+    if sort_by not in LISTED or direction not in ("asc", "desc") or number < 1 or not 1 <= limit <= LISTED_MOST:
+        raise ValueError(f"no listing by {sort_by!r} {direction!r}, page {number} of {limit}")
+    return page(df, order(df, sort_by, direction, key, LISTED, sort_by), number, limit, LISTED_MOST)
+
+
+def catalog_totals(df: DataFrame, internal: str, columns: list[str], display: str, key: str, term: str | None, limit: int) -> DataFrame:
+    """``total, pages`` of the catalog that ``catalog_page`` pages; without a limit it is one page."""
+    every = catalog_page(df, internal, columns, display, key, term, 1, 0)
+    got = every.agg(F.count("*").alias("total"))
+    return got.withColumn("pages", F.ceil(F.col("total") / limit).cast("long") if limit > 0 else F.lit(1).cast("long"))

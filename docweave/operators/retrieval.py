@@ -6,9 +6,12 @@ its ``k`` best a query, so the only shuffle has ``k`` rows a query and task. Spa
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.operators import windows
@@ -156,3 +159,49 @@ def blend(docs: DataFrame, score: str = "score", rerank: str = "rerank_score", c
 def distinct_content(docs: DataFrame, content: str, order: str) -> DataFrame:
     """Of documents with equal text the first stays."""
     return windows.first_of(docs.withColumn("_h", F.sha2(F.col(content).cast("binary"), 256)), ["_h"], F.col(order)).drop("_h")
+
+
+#: fixed values: what a search's outcome is as a code of the protocol
+CODES = {"success": 200, "error": 500, "accessible_records_not_found": 404, "vector_db_empty": 503, "vector_db_not_ready": 503, "empty_response": 200}
+
+
+def status_code(status: Column) -> Column:
+    out = F
+    for name, code in CODES.items():
+        out = out.when(status == name, code)
+    return out.otherwise(500)
+
+
+def empty_response(message: str, status: str) -> dict:
+    return {"searchResults": [], "records": [], "status": status, "status_code": CODES.get(status, 500), "message": message}
+
+
+def scoped(points: DataFrame, accessible: DataFrame, tool_ids: DataFrame | None = None, virtual: str = "virtual_id") -> DataFrame:
+    """The points that a search may look at: those of the ids that a tool asks for, if it names any, else those of the accessible ids. What a tool asks for is
+    checked once more by ``visible``."""
+    return points.join((accessible if tool_ids is None else tool_ids).select(virtual).distinct(), virtual, "left_semi")
+
+
+def chunks(sentences: DataFrame, by: str, order: str, vector: str, percentile: float = 0.95) -> DataFrame:
+    """The sentences with ``distance`` to the one before (1 less the cosine; null for the first) and ``chunk`` from 0: a new one begins where the distance is above the percentile of the document's
+    distances. A document's sentences are ordered in one window, so a document is the unit of work; equal vectors have a distance of 0, a zero vector one of 1."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    w = Window.partitionBy(by).orderBy(order)
+    got = sentences.withColumn("_before", F.lag(vector).over(w))
+    norm = F.sqrt(dot(F.col(vector), F.col(vector)) * dot(F.col("_before"), F.col("_before")))
+    got = got.withColumn("distance", F.when(F.col("_before").isNotNull(), F.when(norm > 0, 1 - dot(F.col(vector), F.col("_before")) / norm).otherwise(1.0))).drop("_before")
+    limit = got.groupBy(by).agg(F.percentile("distance", percentile).alias("_limit"))
+    got = got.join(limit, by, "left")
+    return got.withColumn("chunk", F.sum(F.coalesce((F.col("distance") > F.col("_limit")).cast("long"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_limit")
+
+
+def reranked(hits: DataFrame, query: str, content: str, load: Callable[[], Callable[[list[str], list[str]], list[float]]]) -> DataFrame:
+    """``rerank_score`` of each hit by a model that ``load`` makes once a task: it takes queries and contents and gives scores."""
+
+    @F.pandas_udf("double")
+    def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = load()
+        for q, c in parts:
+            yield pd.Series(model(q.fillna("").tolist(), c.fillna("").tolist()), dtype="float64")
+
+    return hits.withColumn("rerank_score", score(query, content))

@@ -26,10 +26,30 @@ def join_citations(found: DataFrame, blocks: DataFrame) -> DataFrame:
     return got.select(*found.columns, F.coalesce("_by_url", "_by_place").alias("block_id"))
 
 
-def unknown_citations(answers: DataFrame, key: str, answer: str, known: DataFrame) -> DataFrame:
-    """Distinct cited places that are no known block (``record_id, block_index``)."""
-    got = citations(answers, key, answer).select(key, "url", "record_id", "block_index").distinct()
-    return got.join(known.select("record_id", "block_index"), ["record_id", "block_index"], "left_anti")
+def unknown_citations(answers: DataFrame, key: str, answer: str, hits: DataFrame, records: DataFrame, refs: DataFrame | None = None, children: DataFrame | None = None) -> DataFrame:
+    """``key, target``: distinct citations that mean nothing known. A short reference is known if ``refs`` (``key, ref``) has it; an address
+    if its record and block are a hit (``record_id, block_index``), a child row of one of the record's tables (``children``, the same columns), or a block within the record (``record_id, n_blocks``)."""
+    one = answers.select(key, F.explode(tx.cited(F.coalesce(F.col(answer), F.lit("")))).alias("target")).distinct()
+    short = one.where(F.col("target").rlike(r"^ref[0-9]+$"))
+    if refs is not None:
+        short = short.join(refs.select(key, F.col("ref").alias("target")), [key, "target"], "left_anti")
+    full = one.where(~F.col("target").rlike(r"^ref[0-9]+$")).withColumn("record_id", tx.record_of(F.col("target"))).withColumn("block_index", tx.block_index(F.col("target")))
+    places = hits.select("record_id", "block_index")
+    if children is not None:
+        places = places.union(children.select("record_id", "block_index"))
+    full = full.join(places, ["record_id", "block_index"], "left_anti")
+    r = records.select(F.col("record_id").alias("_r"), "n_blocks")
+    full = full.join(r, (full.record_id == F.col("_r")) & (full.block_index >= 0) & (full.block_index < F.col("n_blocks")), "left_anti")
+    return short.select(key, "target").union(full.select(key, "target"))
+
+
+def flattened(hits: DataFrame, children: str, is_group: Column) -> DataFrame:
+    """Hits with each table or list replaced by its child rows (an array of structs whose fields replace the hit's own); a group without children goes."""
+    inner = [f.name for f in hits.schema[children].dataType.elementType.fields]
+    own = [c for c in hits.columns if c != children]
+    single = hits.where(~F.coalesce(is_group, F.lit(False))).select(*own)
+    rows = hits.where(is_group).withColumn("_child", F.explode(children))
+    return single.unionByName(rows.select(*[F.col(f"_child.{c}").alias(c) if c in inner else F.col(c) for c in own]))
 
 
 def _matches(path: list[str], pattern: list[str]) -> bool:

@@ -52,9 +52,21 @@ def token_budget(df: DataFrame, by: str, order: str, tokens: str, budget: int) -
     return got.where(~F.col("_over")).drop("_over")
 
 
+def prepared_content(blocks: DataFrame, by: str, order: str, kind: str, content: str, tokens: str, budget: int, images: int = 50) -> DataFrame:
+    """The blocks that go to a model: text and table rows with content up to the first that would exceed the budget, and the first ``images`` images with content before that
+    place. Only texts and rows use up tokens; other kinds are left out."""
+    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    some = blocks.where(F.col(kind).isin("text", "table_row", "image") & F.col(content).isNotNull() & (F.col(content) != ""))
+    counted = F.when(F.col(kind) != "image", F.col(tokens)).otherwise(0)
+    # sums only grow, so all after the first overflow exceed the budget too, images included
+    got = some.withColumn("running", F.sum(counted).over(w)).withColumn("_image", F.sum((F.col(kind) == "image").cast("int")).over(w))
+    return got.where((F.col("running") <= budget) & ((F.col(kind) != "image") | (F.col("_image") <= images))).drop("_image")
+
+
 def fullest_rows(df: DataFrame, by: str, index: str, empty: str, n: int = 10) -> DataFrame:
-    """The ``n`` rows of fewest empty values, ties to the smaller index."""
-    return ranked(df, [by], F.col(empty), F.col(index), name="_rank", k=n).drop("_rank")
+    """The ``n`` rows of fewest empty values, ties to the smaller index, with their ``place`` (from 1) in the original order."""
+    best = ranked(df, [by], F.col(empty), F.col(index), name="_rank", k=n).drop("_rank")
+    return best.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(index)))
 
 
 def fixed_batches(df: DataFrame, by: str, order: str, size: int) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docweave.operators import aggregates, dedup, dml, filters, graph, paging, windows
+from docweave.operators import aggregates, dedup, dml, filters, graph, paging, sets, windows
 from docweave.operators.filters import Filter
+from docweave.sources import sqltables
 from docweave.plans.registry import belongs, groups, memory, nesting, permission, query, records, table, vrecords
 
 NOW = 1700000000000 + 500 * 3600000
@@ -62,17 +63,16 @@ def filter_large_list(spark, d):
 
 @query("SELECT record_id, record_name FROM records WHERE record_id = 42", "records")
 def point_lookup(spark, d):
-    return records(spark, d).where("record_id = 42").select("record_id", "record_name").limit(1)
+    return sqltables.scroll(records(spark, d), F.col("record_id") == 42, 1).select("record_id", "record_name")
 
 
 @query(
-    """SELECT record_id FROM records WHERE (contains(lower(record_name), '-1') OR record_type = 'MAIL') AND record_type IN ('MAIL', 'FILE')""",
+    """SELECT record_id FROM records WHERE contains(lower(record_name), '-1') AND record_type IN ('MAIL', 'FILE')""",
     "records",
 )
 def keyword_tag_search(spark, d):
     df = records(spark, d).withColumn("tags", F.array("record_type", "status"))
-    got = df.where(filters.has_text(["record_name"], "-1") | F.array_contains("tags", "MAIL"))
-    return got.where(F.arrays_overlap("tags", F.array(F.lit("MAIL"), F.lit("FILE")))).select("record_id")
+    return filters.search(df, "-1", ["record_name"], "tags", ["MAIL", "FILE"]).select("record_id")
 
 
 @query("SELECT record_id, COALESCE(web_url, record_name) AS path, size > 1000 AS is_large, CASE WHEN mime_type IS NULL THEN 'unknown' ELSE 'known' END AS mime FROM records", "records")
@@ -127,11 +127,11 @@ def hop_outbound(spark, d):
     return graph.outbound(belongs(spark, d), groups(spark, d).where("n % 2 = 0"), "group_id").select(F.col("src").alias("record_id"), "group_id", "n")
 
 
-@query("SELECT p.principal, p.target, p.role, r.record_type FROM permission p JOIN records r ON p.target = r.record_id WHERE r.connector_id = 'src5'", "permission", "records")
+@query("SELECT p.principal, p.target, p.role, c.c_name AS name FROM permission p JOIN customer c ON p.principal = c.c_custkey WHERE p.target % 20 = 5", "permission")
 def hop_inbound(spark, d):
-    r = records(spark, d).where("connector_id = 'src5'")
-    e = permission(spark, d).withColumnRenamed("target", "dst")
-    return graph.outbound(e, r, "record_id").select("principal", F.col("dst").alias("target"), "role", "record_type")
+    e = permission(spark, d).select(F.col("principal").alias("src"), F.col("target").alias("dst"), "role").where("dst % 20 = 5")
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name"))
+    return graph.inbound(e, c, "c_custkey").select(F.col("src").alias("principal"), F.col("dst").alias("target"), "role", "name")
 
 
 @query("SELECT a.record_id AS src, b.record_id AS dst FROM records a JOIN records b ON b.record_id = a.record_id // 2 AND a.connector_id = b.connector_id WHERE a.record_id > 0", "records")
@@ -220,22 +220,35 @@ def interval_overlap(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
     a = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("line"), F.col("t").alias("start"), (F.col("t") + 600000).alias("end"))
     b = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("sentence"), F.col("t").alias("s_start"), (F.col("t") + 1800000).alias("s_end"))
-    return graph.overlapping(a, b, "user_id").select("line", "sentence")
+    return graph.overlapping(a, b, "user_id", 3_600_000).select("line", "sentence")
 
 
-@query("SELECT conv_id, 'https://x/record/' || (conv_id * 7) || '?blockIndex=' || turn AS url FROM conversations WHERE conv_id * 7 NOT IN (SELECT doc_id FROM documents)")
+_ASKED = "(SELECT conv_id, turn, conv_id * 7 AS r, turn * 3 AS b FROM conversations)"
+
+
+@query(f"""SELECT DISTINCT conv_id, target FROM (SELECT conv_id, 'https://x/record/' || r || '/preview#blockIndex=' || b AS target FROM {_ASKED} c
+    WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.doc_id = c.r AND c.b < x.n_chars % 7) AND NOT (r % 5 = 0 AND b = 3 AND r IN (SELECT doc_id FROM documents)) AND NOT (r % 4 = 0 AND b = 6 AND r IN (SELECT doc_id FROM documents))
+    UNION ALL SELECT conv_id, 'ref' || turn FROM conversations WHERE turn % 2 = 1)""")
 def hallucinated_citations(spark, d):
     from docweave.operators import shape
 
-    c = table(spark, d, "conversations").select("conv_id", F.concat(F.lit("see [1](https://x/record/"), F.col("conv_id") * 7, F.lit("?blockIndex="), "turn", F.lit(")")).alias("answer"))
-    known = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("record_id")).withColumn("block_index", F.explode(F.sequence(F.lit(0), F.lit(400)).cast("array<long>")))
-    return shape.unknown_citations(c, "conv_id", "answer", known).select("conv_id", "url")
+    c = table(spark, d, "conversations")
+    text = F.concat(F.lit("see [1](https://x/record/"), F.col("conv_id") * 7, F.lit("/preview#blockIndex="), F.col("turn") * 3, F.lit(") or [2](ref"), "turn", F.lit(") and [not](http://other/"), "turn", F.lit(")"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("record_id"), "doc_id", (F.col("n_chars") % 7).alias("n_blocks"))
+    hits = docs.where("doc_id % 5 = 0").select("record_id", F.lit(3).cast("long").alias("block_index"))
+    rows = docs.where("doc_id % 4 = 0").select("record_id", F.lit(6).cast("long").alias("block_index"))
+    refs = c.where("turn % 2 = 0").select("conv_id", F.concat(F.lit("ref"), "turn").alias("ref"))
+    return shape.unknown_citations(c.select("conv_id", text.alias("answer")), "conv_id", "answer", hits, docs.select("record_id", "n_blocks"), refs, rows).select("conv_id", "target").distinct()
 
 
-@query("SELECT o_orderkey AS record_id, r.record_name, CASE WHEN r.status = 'COMPLETED' THEN 'fetched' ELSE 'unavailable' END AS outcome FROM orders LEFT JOIN records r ON r.record_id = o_orderkey", "records")
+@query("""SELECT o_orderkey AS record_id, CASE WHEN o_orderkey % 10 = 0 THEN 'hit' WHEN r.status = 'COMPLETED' THEN 'stored' ELSE 'unavailable' END AS source,
+    CASE WHEN o_orderkey % 10 = 0 THEN 'hit ' || o_orderkey WHEN r.status = 'COMPLETED' THEN 'v' || r.virtual_id END AS content FROM orders LEFT JOIN vrecords r ON r.record_id = o_orderkey""", "vrecords")
 def full_record_fetch(spark, d):
     want = table(spark, d, "orders").select(F.col("o_orderkey").alias("record_id"))
-    return want.join(records(spark, d), "record_id", "left").select("record_id", "record_name", F.when(F.col("status") == "COMPLETED", "fetched").otherwise("unavailable").alias("outcome"))
+    hits = want.where("record_id % 10 = 0").select("record_id", F.concat(F.lit("hit "), "record_id").alias("content"))
+    v = vrecords(spark, d)
+    blobs = v.select("virtual_id").distinct().select("virtual_id", F.concat(F.lit("v"), "virtual_id").alias("content"))
+    return graph.fetched(want, hits, v, blobs)
 
 
 # aggregates
@@ -266,6 +279,11 @@ def count_many(spark, d):
     return aggregates.total_count([table(spark, d, t) for t in ("customer", "supplier", "part")])
 
 
+@query("SELECT record_id, CASE WHEN mime_type IS NULL THEN 'no record' ELSE 'not valid' END AS reason FROM records WHERE mime_type IS NULL OR web_url IS NULL", "records")
+def validation_invalid(spark, d):
+    return aggregates.invalid_nodes(records(spark, d), "record_id", F.col("mime_type").isNotNull(), F.col("web_url").isNotNull())
+
+
 @query("SELECT count(*) AS total, count(mime_type) AS with_record, count(*) FILTER (mime_type IS NOT NULL AND web_url IS NOT NULL) AS valid, count(*) FILTER (mime_type IS NULL OR web_url IS NULL) AS invalid, count(*) FILTER (mime_type IS NULL OR web_url IS NULL) = 0 AS success FROM records", "records")
 def validation_summary(spark, d):
     return aggregates.validation(records(spark, d), "record_id", F.col("mime_type").isNotNull(), F.col("web_url").isNotNull())
@@ -292,10 +310,12 @@ def distinct_virtual_ids(spark, d):
     return vrecords(spark, d).select("virtual_id").distinct()
 
 
-@query("SELECT source, string_agg(lang, ',' ORDER BY f) AS langs FROM (SELECT source, lang, min(doc_id) AS f FROM documents GROUP BY ALL) GROUP BY 1")
+@query("""SELECT source, max(n_chars) AS n_chars, CASE WHEN count(DISTINCT lang) = 1 THEN min(lang) END AS lang, CASE WHEN count(DISTINCT lang) > 1 THEN (SELECT string_agg(x.lang, ',' ORDER BY f) FROM (SELECT lang, min(doc_id) AS f FROM documents y WHERE y.source = d.source GROUP BY 1) x) END AS langs,
+    (SELECT string_agg(t, ',' ORDER BY f) FROM (SELECT t, min(doc_id * 2 + i) AS f FROM (SELECT doc_id, 0 AS i, 't' || (doc_id % 3) AS t FROM documents y WHERE y.source = d.source UNION ALL SELECT doc_id, 1, 'u' FROM documents y WHERE y.source = d.source) GROUP BY 1)) AS tags FROM documents d GROUP BY source""")
 def metadata_merge(spark, d):
-    got = aggregates.merge_metadata(table(spark, d, "documents"), "source", "doc_id", ["lang"], [], ["n_chars"])
-    return got.select("source", F.array_join("lang", ",").alias("langs"))
+    docs = table(spark, d, "documents").withColumn("tags", F.array(F.concat(F.lit("t"), F.col("doc_id") % 3), F.lit("u")))
+    got = aggregates.merge_metadata(docs, "source", "doc_id", ["lang"], ["tags"], ["n_chars"])
+    return got.select("source", "n_chars", "lang", F.array_join("lang_all", ",").alias("langs"), F.array_join("tags", ",").alias("tags"))
 
 
 @query("SELECT l_orderkey, min(l_quantity) AS x0, min(l_discount) AS y0, max(l_quantity) AS x1, max(l_discount) AS y1 FROM lineitem GROUP BY 1")
@@ -365,9 +385,9 @@ def token_budget(spark, d):
     return windows.token_budget(docs, "source", "doc_id", "tokens", 5000).select("doc_id", "running")
 
 
-@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id % 4, doc_id) AS r FROM documents) WHERE r <= 10")
+@query("SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id % 4, doc_id) AS r FROM documents) WHERE r <= 10")
 def representative_rows(spark, d):
-    return windows.fullest_rows(table(spark, d, "documents").withColumn("nulls", F.col("doc_id") % 4), "source", "doc_id", "nulls").select("doc_id")
+    return windows.fullest_rows(table(spark, d, "documents").withColumn("nulls", F.col("doc_id") % 4), "source", "doc_id", "nulls").select("doc_id", F.col("place").cast("long").alias("place"))
 
 
 @query("SELECT conv_id, turn, kind FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM memory) WHERE r <= 3", "memory")
@@ -428,25 +448,24 @@ def catalog_page(spark, d):
 
 @query("SELECT target, principal FROM (SELECT target, principal FROM permission INTERSECT SELECT doc_id, doc_id % 150 FROM documents)", "permission")
 def intersect_ids(spark, d):
-    return permission(spark, d).select("target", "principal").intersect(table(spark, d, "documents").select(F.col("doc_id").alias("target"), (F.col("doc_id") % 150).alias("principal")))
+    return sets.common(permission(spark, d).select("target", "principal"), table(spark, d, "documents").select(F.col("doc_id").alias("target"), (F.col("doc_id") % 150).alias("principal")))
 
 
 @query("SELECT record_id FROM records EXCEPT SELECT target FROM permission WHERE role = 'READER'", "records", "permission")
 def except_ids(spark, d):
-    return records(spark, d).select("record_id").exceptAll(permission(spark, d).where("role = 'READER'").select("target")).distinct().join(permission(spark, d).where("role = 'READER'").select(F.col("target").alias("record_id")), "record_id", "left_anti")
+    return sets.without(records(spark, d).select("record_id"), permission(spark, d).where("role = 'READER'").select("target"))
 
 
 @query("SELECT doc_id, 'a,' || lang || CASE WHEN lang <> 'en' THEN ',en' ELSE '' END AS queries FROM documents")
 def ordered_union(spark, d):
-    both = F.array_distinct(F.concat(F.array(F.lit("a"), F.col("lang")), F.array(F.lit("en"), F.lit("a"))))
+    both = sets.ordered_union(F.array(F.lit("a"), F.col("lang")), F.array(F.lit("en"), F.lit("a")))
     return table(spark, d, "documents").select("doc_id", F.array_join(both, ",").alias("queries"))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0")
+@query("SELECT k, min(doc_id) AS v FROM (SELECT doc_id % 100 AS k, doc_id FROM documents WHERE doc_id < 40 UNION ALL SELECT doc_id % 100, doc_id FROM documents WHERE doc_id >= 100 AND doc_id % 100 >= 40) GROUP BY k")
 def append_dedupe(spark, d):
-    docs = table(spark, d, "documents").select("doc_id")
-    a, b = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 3 = 0")
-    return a.union(b.join(a, "doc_id", "left_anti"))
+    docs = table(spark, d, "documents").select((F.col("doc_id") % 100).alias("k"), F.col("doc_id").alias("v"))
+    return sets.append_new(docs.where("v < 40"), docs.where("v >= 100"), "k", "v")
 
 
 # duplicates and changes

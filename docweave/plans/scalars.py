@@ -92,7 +92,7 @@ def enum_labels(spark, d):
 def status_mapping(spark, d):
     s = F.when(F.col("o_orderstatus") == "F", "Completed").when(F.col("o_orderstatus") == "O", "open").otherwise("In_Progress")
     p = F.col("o_orderpriority")
-    return table(spark, d, "orders").select("o_orderkey", nx.mapped(s, nx.STATUS).alias("status"), nx.mapped(F.when(p.startswith("4"), p).otherwise(F.split_part(p, F.lit("-"), F.lit(2))), nx.PRIORITY).alias("priority"))
+    return table(spark, d, "orders").select("o_orderkey", nx.mapped(s, nx.STATUS).alias("status"), nx.priority(F.when(p.startswith("4"), p).otherwise(F.split_part(p, F.lit("-"), F.lit(2)))).alias("priority"))
 
 
 @query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(l_quantity / 100, 6) AS nx, round((50 - l_quantity) / 50, 6) AS ny, round(greatest(0, least(l_quantity, 30) - 0) / l_quantity, 6) AS share FROM lineitem WHERE l_quantity > 0")
@@ -121,15 +121,28 @@ def entity_regex(spark, d):
     return table(spark, d, "documents").select("doc_id", *[F.size(e[k]).cast("long").alias(f"n_{k}") for k in ("mentions", "channels", "urls")])
 
 
-@query("SELECT conv_id, turn, turn AS block_index, conv_id::VARCHAR AS record_id FROM conversations")
+@query("SELECT conv_id, turn, turn AS block_index, CASE WHEN turn % 2 = 0 THEN conv_id::VARCHAR END AS record_id FROM conversations")
 def citation_urls(spark, d):
-    url = F.concat(F.lit("https://x/record/"), "conv_id", F.lit("?a=b&blockIndex="), "turn")
+    url = F.concat(F.lit("https://x/record/"), "conv_id", F.when(F.col("turn") % 2 == 0, "/preview").otherwise("/raw"), F.lit("?a=b#blockIndex="), "turn")
     return table(spark, d, "conversations").select("conv_id", "turn", tx.block_index(url).alias("block_index"), tx.record_of(url).alias("record_id"))
 
 
-@query("SELECT page_id, 'My Page ' || page_id AS title FROM pages")
+@query("""SELECT conv_id, turn, 'A [1](u/record/' || conv_id || '/preview#blockIndex=' || turn || ')' || CASE WHEN turn % 3 = 0 THEN ', [2](v/record/x/preview?blockGroupIndex=1)' ELSE ', ' END || ' and [1](u/record/' || conv_id || '/preview#blockIndex=' || turn || ') . [k](http://z)' AS answer FROM conversations""")
+def citations_renumbered(spark, d):
+    mine = F.concat(F.lit("u/record/"), "conv_id", F.lit("/preview#blockIndex="), "turn")
+    other = F.lit("v/record/x/preview?blockGroupIndex=1")
+    text = F.concat(F.lit("A [9](ref1), [4]("), other, F.lit(") and [7]("), mine, F.lit(") [8](ref2). [k](http://z)"))
+    refs = F.create_map(F.lit("ref1"), mine)
+    known = F.when(F.col("turn") % 3 == 0, F.array(other, mine)).otherwise(F.array(mine))
+    numbers = tx.citation_numbers(tx.resolved(tx.cited(text), refs), known)
+    return table(spark, d, "conversations").select("conv_id", "turn", tx.renumbered(text, numbers, refs).alias("answer"))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN regexp_extract(url, '//([^/]*)', 1) WHEN 1 THEN 'Untitled' WHEN 2 THEN 'my page ' || page_id || '.html' ELSE replace(replace(regexp_extract(rtrim(regexp_replace(url, '[?#].*', ''), '/'), '([^/]*)$', 1), '-', ' '), '_', ' ') END AS title FROM pages")
 def url_titles(spark, d):
-    return table(spark, d, "pages").select("page_id", tx.url_title(F.concat(F.lit("http://h.example/a/my-page_"), "page_id", F.lit(".html?x=1#f"))).alias("title"))
+    i = F.col("page_id")
+    url = F.when(i % 4 == 0, F.concat(F.lit("http://"), F.regexp_extract("url", "//([^/]*)", 1), F.lit("/?q=1"))).when(i % 4 == 1, "").when(i % 4 == 2, F.concat(F.lit("http://h.example/a/my-page_"), i, F.lit(".html?x=1#f"))).otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", tx.url_title(url).alias("title"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'top' END AS h1, 'Column_2' AS h2 FROM events")
@@ -152,15 +165,31 @@ def list_votes(spark, d):
     return table(spark, d, "events").select("event_id", tx.list_kind(text).alias("kind"), tx.sync_key(F.lit("org"), F.lit("c"), F.col("event_type")).alias("sync_key"), tx.file_name(F.lit("\ta  b中\n")).alias("file_name"))
 
 
-@query("SELECT record_id, CASE record_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'csv' WHEN 2 THEN 'md' ELSE 'xyz' END AS extension, record_id % 4 <> 3 AS supported, CASE record_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'delimited' WHEN 2 THEN 'markdown' ELSE 'unsupported' END AS route FROM records", "records")
+_MIMES = ("application/x-pdf", "application/csv", "text/tsv", "image/x-png", "text/x-markdown", "application/xhtml", "application/vnd.ms-excel.sheet.macroEnabled.12", "text/mdx; charset=utf-8", None, "unknown")
+_ENDS = ("pdf", "csv", "tsv", "png", "md", "html", "xls", "mdx", "docx", "xyz")
+_ROUTED = ("pdf", "delimited", "delimited", "image", "markdown", "html", "office", "mdx", "office", "unsupported")
+
+
+@query(f"SELECT record_id, {list(_ENDS)}[record_id % 10 + 1] AS extension, {list(_ROUTED)}[record_id % 10 + 1] <> 'unsupported' AS supported, {list(_ROUTED)}[record_id % 10 + 1] AS route FROM records", "records")
 def format_routes(spark, d):
     from docweave.sources import formats
 
     i = F.col("record_id")
-    df = records(spark, d).select("record_id", F.when(i % 4 == 0, "application/pdf").when(i % 4 == 1, "text/csv").alias("mime_type"), F.when(i % 4 == 2, "notes.v2.md").otherwise("a.xyz").alias("record_name"))
+    mime = F.element_at(F.array(*[F.lit(m) for m in _MIMES]), (i % 10 + 1).cast("int"))
+    df = records(spark, d).select("record_id", mime.alias("mime_type"), F.when(i % 10 == 8, "Plan.v2.DOCX").otherwise("a.xyz").alias("record_name"))
     return formats.routed(df).select("record_id", "extension", "supported", "route")
 
 
+@query("SELECT page_id, url, 'sum ' || page_id AS body FROM (SELECT *, row_number() OVER (PARTITION BY page_id % 3 ORDER BY page_id) AS r FROM pages WHERE page_id IN (SELECT min(page_id) FROM pages GROUP BY url)) WHERE r <= 5 AND page_id % 2 = 0")
+def feed_items(spark, d):
+    from docweave.sources import formats
+
+    p = table(spark, d, "pages").groupBy("url").agg(F.min("page_id").alias("page_id"))
+    i = F.col("page_id")
+    items = p.select("page_id", F.col("url").alias("link"), F.lit(None).cast("string").alias("content"), F.lit("").alias("crawled"), F.concat(F.lit("sum "), i).alias("summary"), F.lit("t").alias("title"), (i % 3).alias("feed"), i.alias("position"))
+    return formats.feed_entries(items, items.where("page_id % 2 = 1"), 5).select("page_id", F.col("link").alias("url"), "body")
+
+
 @query("SELECT DISTINCT page_id, url FROM pages WHERE url IS NOT NULL")
 def feed_items(spark, d):
     from docweave.sources import formats
@@ -199,10 +228,13 @@ def sentence_split(spark, d):
     return markup.sentences(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-@query("SELECT doc_id, chr(10) || chr(10) || '### ' || source || chr(10) || chr(10) || lang AS md FROM documents".replace("chr(10) || chr(10) || '### '", "'### '"))
+@query("SELECT doc_id, '### ' || source || chr(10) || chr(10) || lang || chr(10) || chr(10) || '> **Note:**' || chr(10) || '>' || chr(10) || '> of ' || doc_id || chr(10) || chr(10) || 'code ' || n_chars || chr(10) || 'end' AS md FROM documents")
 def mdx_to_markdown(spark, d):
-    mdx = F.concat(F.lit('<Accordion title="'), F.col("source"), F.lit('">\n'), F.col("lang"), F.lit('\n</Accordion>\n<Card a="b" />'))
-    return table(spark, d, "documents").select("doc_id", F.rtrim(F.regexp_replace(tx.mdx_to_md(mdx), r"^\s+|\s+$", "")).alias("md"))
+    from docweave.sources import markup
+
+    parts = ['<Accordion title="', "source", '">\n', "lang", '\n</Accordion>\n\n\n<Card a="b">gone\nwith it</Card><Info> of ', "doc_id", " </Info>\n<CodeGroup>code ", "n_chars", "</CodeGroup><Tag x='1'/>end</Other>"]
+    mdx = F.concat(*[F.col(p).cast("string") if p.isidentifier() and p not in ("end",) else F.lit(p) for p in parts])
+    return markup.mdx_to_md(table(spark, d, "documents").select("doc_id", mdx.alias("md")), "md")
 
 
 @query("SELECT event_type, count(*) AS n FROM (SELECT event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 GROUP BY 1")

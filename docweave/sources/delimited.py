@@ -17,6 +17,18 @@ def read_rows(spark: SparkSession, path: str, delimiter: str = ",", quote: str =
     return spark.read.csv(path, sep=delimiter, quote=quote, encoding=encoding, header=False, inferSchema=False)
 
 
+def raw_rows(files: DataFrame, key: str, content: str, delimiter: str = ",", quote: str = '"') -> DataFrame:
+    """``file, row_number, cells`` of whole files: rows in their order (from 1), with as many cells as each has. A null or empty file has none."""
+    kind = dict(files.dtypes)[key]
+
+    def run(frames):
+        for frame in frames:
+            out = [(k, n, cells) for k, text in zip(frame[key], frame[content]) for n, cells in enumerate(csv.reader(io.StringIO(text or "", newline=""), delimiter=delimiter, quotechar=quote), 1)]
+            yield pd.DataFrame(out, columns=["file", "row_number", "cells"])
+
+    return files.select(key, content).mapInPandas(run, f"file {kind}, row_number long, cells array<string>")
+
+
 def regions(grid: list[list[str]]) -> list[tuple[int, int, list[list[str]]]]:
     """The tables of a grid: first row, last row (from 0) and cells, empty ones as ``null``.
 

@@ -133,3 +133,61 @@ def sentences(df: DataFrame, key: str, column: str) -> DataFrame:
 
     got = df.select(key, column, F.posexplode(spans(column)).alias("position", "s"))
     return got.select(key, "position", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.substring(F.col(column), F.col("s.start").cast("int") + 1, (F.col("s.end") - F.col("s.start")).cast("int")).alias("sentence"))
+
+
+_KEEP = ("CodeGroup", "Info", "AccordionGroup", "Accordion")
+_ACCORDION = re.compile(r"<Accordion\s+title=['\"](.+?)['\"]\s*>(.*?)</Accordion>", re.S)
+_BLOCK = re.compile(r"<([A-Za-z][A-Za-z0-9]*)[^>]*>(.*?)</\1>", re.S)
+
+
+def mdx(text: str) -> str:
+    """Markdown of an MDX text: titled accordions become headings, notes quotes, groups their content; any other element goes with its
+    content, as do tags without a partner, and blank lines collapse."""
+
+    def element(m: re.Match) -> str:
+        name, inner = m.group(1), m.group(2).strip()
+        if name not in _KEEP:
+            return ""
+        shape = {"Info": "\n\n> **Note:**\n>\n> {}\n", "Accordion": "{}"}.get(name, "\n\n{}\n")
+        return shape.replace("{}", inner)
+
+    text = _ACCORDION.sub(lambda m: f"\n\n### {m.group(1)}\n\n{m.group(2).strip()}\n", text)
+    text = _BLOCK.sub(element, text)
+    text = re.sub(r"<[A-Za-z][A-Za-z0-9]*[^>]*/>|</[A-Za-z][A-Za-z0-9]*>", "", text)
+    return re.sub(r"\n\s*\n", "\n\n", text).strip()
+
+
+_MARK = re.compile(r'\\.|["\x00-\x1f\x7f-\x9f]', re.S)
+
+
+def repaired_json(text: str) -> str:
+    """JSON with the control characters inside its strings escaped; all else, escaped characters too, stays as it is."""
+    inside = False
+
+    def turn(m: re.Match) -> str:
+        nonlocal inside
+        c = m.group(0)
+        if c == '"':
+            inside = not inside
+            return c
+        if len(c) > 1 or not inside:
+            return c
+        return {"\n": "\\n", "\r": "\\r", "\t": "\\t"}.get(c) or f"\\u{ord(c):04x}"
+
+    return _MARK.sub(turn, text)
+
+
+def _each(f):
+    @F.pandas_udf("string")
+    def turn(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: x if x is None else f(x))
+
+    return turn
+
+
+def mdx_to_md(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn(column, _each(mdx)(column))
+
+
+def repair_json(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn(column, _each(repaired_json)(column))

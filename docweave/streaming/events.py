@@ -33,6 +33,31 @@ def once(events: DataFrame, keys: tuple[str, ...] = ("topic", "partition", "offs
     return events.dropDuplicates(list(keys))
 
 
+#: fixed values: the topics, each of which is a stream of its own
+TOPICS = ("record-events", "entity-events", "sync-events", "health-check")
+
+
+def topics(spark: SparkSession, servers: str, names: tuple[str, ...] = TOPICS, most: int = 1000) -> dict[str, DataFrame]:
+    return {n: kafka(spark, servers, n, most) for n in names}
+
+
+def files(spark: SparkSession, path: str, schema: str, most: int = 100) -> DataFrame:
+    """A folder of Parquet files as a stream, at most so many new files a micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", most).parquet(path)
+
+
+def drained(stream: DataFrame, path: str, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+    """All that a stream has now, written below ``path`` with its checkpoint there, and read back. A run that broke off goes on from the checkpoint; batches that come
+    again overwrite their own folder."""
+    schema = stream.schema
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(sink or write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{path}/out")
+
+
 def latest(events: DataFrame, key: str, order: str) -> DataFrame:
     """The newest event of each key, by partial aggregates."""
     rest = [c for c in events.columns if c not in (key,)]
@@ -44,6 +69,37 @@ def derived(events: DataFrame, app: str = "app") -> DataFrame:
     return events.where("eventType = 'appEnabled'").select(F.concat(F.lower(app), F.lit(".start")).alias("eventType"), "timestamp", "payload")
 
 
+#: fixed values: what an entity event does
+KINDS = {
+    "orgCreated": "active", "orgUpdated": "active", "orgDeleted": "deleted", "userAdded": "active", "userUpdated": "active", "userDeleted": "deleted", "appEnabled": "enabled", "appDisabled": "disabled",
+}
+
+
+def entity_state(events: DataFrame, key: str = "entity_id", order: str = "timestamp") -> DataFrame:
+    """``key, kind, state, payload`` of each entity by its newest event; other kinds of event count as nothing."""
+    state = F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), F.col("eventType"))
+    some = events.where(F.col("eventType").isin(*KINDS)).select(key, F.regexp_extract("eventType", "^[a-z]+", 0).alias("kind"), state.alias("state"), "payload", order)
+    return some.groupBy(key, "kind").agg(F.max_by(F.struct("state", "payload"), order).alias("_e")).select(key, "kind", "_e.*")
+
+
+def apply_entities(state: DataFrame, events: DataFrame, key: str = "entity_id", order: str = "timestamp") -> DataFrame:
+    """The entity table (``key, kind, state, payload``) after a batch of events, for ``foreachBatch``; the newest event wins."""
+    new = entity_state(events, key, order)
+    return state.join(new, [key, "kind"], "left_anti").unionByName(new)
+
+
+def newer(rows: DataFrame, points: DataFrame, source: str, time: str) -> DataFrame:
+    """Rows of each source after its sync point (``source, offset``); a source without one is taken whole."""
+    p = points.select(F.col(source).alias("_s"), F.col("offset").alias("_o"))
+    return rows.join(p, rows[source] == F.col("_s"), "left").where(F.col("_o").isNull() | (F.col(time) > F.col("_o"))).drop("_s", "_o")
+
+
+def advanced(points: DataFrame, rows: DataFrame, source: str, time: str) -> DataFrame:
+    """Sync points after rows have been taken; a point never goes back."""
+    seen = rows.select(source, F.col(time).alias("offset"))
+    return points.select(source, "offset").unionByName(seen).groupBy(source).agg(F.max("offset").alias("offset"))
+
+
 def recovery(records: DataFrame, status: str) -> DataFrame:
     """What a start after a crash does: records in progress run again, queued ones are turned off."""
     return records.withColumn("outcome", F.when(F.col(status) == "IN_PROGRESS", "RERUN").when(F.col(status) == "QUEUED", "AUTO_INDEX_OFF"))

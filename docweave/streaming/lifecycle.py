@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -39,7 +39,7 @@ def step(status: str | None, version: int, e: dict) -> tuple[str | None, int, st
     version += kind == "updateRecord"
     if not e["supported"]:
         return "FILE_TYPE_NOT_SUPPORTED", version, fate
-    if e["outcome"] in ("FAILED", "EMPTY"):
+    if e["outcome"] in ("FAILED", "EMPTY", "ENABLE_MULTIMODAL_MODELS"):
         return e["outcome"], version, fate
     return "COMPLETED", version, "write"
 
@@ -90,6 +90,45 @@ def replay(events: DataFrame) -> DataFrame:
     return expand(events).groupBy("record_id").applyInPandas(run, OUT)
 
 
+def with_connectors(events: DataFrame, apps: DataFrame) -> DataFrame:
+    """Events with ``connector`` told from the static table ``apps`` (``connector_id, active``): active, inactive or missing. The events may be a stream."""
+    a = apps.select(F.col("connector_id").alias("_id"), F.col("active").alias("_active"))
+    got = events.join(a, events.connector_id == F.col("_id"), "left")
+    connector = F.when(F.col("_id").isNull(), "missing").when(F.col("_active"), "active").otherwise("inactive")
+    return got.withColumn("connector", connector).drop("_id", "_active")
+
+
+def next_queued(records: DataFrame, ended: DataFrame, key: str = "record_id", same: tuple[str, ...] = ("md5",), status: str = "status") -> DataFrame:
+    """``newRecord`` events for the first queued twin of each record that failed or needs other models; twins of one content are started once."""
+    gone = records.join(ended.select(key), key, "left_semi").where(F.col(status).isin("FAILED", "ENABLE_MULTIMODAL_MODELS")).select(*same).distinct()
+    queued = records.where(F.col(status) == "QUEUED").groupBy(*same).agg(F.min(key).alias(key))
+    return queued.join(gone, list(same), "left_semi").select(key, F.lit("newRecord").alias("event_type"))
+
+
+def settle_queued(records: DataFrame, done: DataFrame, key: str = "record_id", same: tuple[str, ...] = ("md5",), status: str = "status", virtual: str = "virtual_id") -> DataFrame:
+    """Records with queued twins of a completed or empty record taking over its status and virtual id; of several the smallest one's."""
+    d = records.join(done.select(key), key, "left_semi").where(F.col(status).isin("COMPLETED", "EMPTY"))
+    d = d.groupBy(*[F.col(c).alias(f"_{c}") for c in same]).agg(F.min_by(F.struct(F.col(status).alias("s"), F.col(virtual).alias("v")), key).alias("_twin"))
+    got = records.join(d, [F.col(c) == F.col(f"_{c}") for c in same], "left")
+    queued = (F.col(status) == "QUEUED") & F.col("_twin").isNotNull()
+    own = {status: F.when(queued, F.col("_twin.s")).otherwise(F.col(status)), virtual: F.when(queued, F.col("_twin.v")).otherwise(F.col(virtual))}
+    return got.select(*[own[c].alias(c) if c in own else F.col(c) for c in records.columns])
+
+
+def failed_status(extraction: str) -> Column:
+    """The extraction status of a record that failed: what is completed stays so."""
+    return F.when(F.col(extraction) == "COMPLETED", "COMPLETED").otherwise("FAILED")
+
+
+def bulk_delete(points: DataFrame, ids: DataFrame, virtual: str = "virtual_id") -> tuple[DataFrame, DataFrame]:
+    """The points that stay when those of the ids are deleted, and one row ``deleted_count, ids_processed``."""
+    one = ids.select(virtual).where(F.col(virtual).isNotNull()).distinct()
+    zero = F.lit(0).cast("long")
+    gone = points.join(one, virtual, "left_semi").agg(F.count("*").alias("deleted_count"), zero.alias("ids_processed"))
+    counts = gone.union(one.agg(zero, F.count("*"))).agg(F.sum("deleted_count").alias("deleted_count"), F.sum("ids_processed").alias("ids_processed"))
+    return points.join(one, virtual, "left_anti"), counts
+
+
 def from_events(events: DataFrame) -> DataFrame:
     """The test table of events as record events."""
     t = F.col("event_type")

@@ -90,7 +90,7 @@ def test_boxes_ranges_headers(spark):
 
 def test_chunk_metadata(spark):
     c = spark.createDataFrame([(1, 0, 1, "s", ["x"], 0.2), (1, 1, 2, "s", ["y", "x"], 0.9), (1, 2, None, "s", None, None)], "g int, o int, page int, source string, tags array<string>, conf double")
-    assert aggregates.merge_metadata(c, "g", "o", ["page", "source"], ["tags"], ["conf"]).first()[1:] == ([1, 2], ["s"], ["x", "y"], 0.9)
+    assert aggregates.merge_metadata(c, "g", "o", ["page", "source"], ["tags"], ["conf"]).select("conf", "page", "page_all", "source", "source_all", "tags").first() == (0.9, None, [1, 2], "s", None, ["x", "y"])
 
 
 def test_scalars(spark):
@@ -99,10 +99,10 @@ def test_scalars(spark):
         tx.value_type(F.lit("1d")).alias("a"), nx.calculate("divide", F.lit(1.0), F.lit(0.0)).alias("b"), nx.calculate("sqrt", F.lit(-1.0)).alias("c"),
         nx.epoch_ms(F.lit("2024-01-01T00:00:01.9Z")).alias("d"), tx.row_text(F.array(F.lit("a")), F.array(F.lit(None).cast("string"))).alias("e"),
         nx.excluded_dates(F.lit("2024-01-06").cast("date"), F.lit("2024-01-01").cast("date"), F.array().cast("array<date>")).alias("f"),
-        F.size(nx.dates_in(F.lit("13/02/2024, 02/13/2024 and 5 May 2023"), 2024)).alias("g"), tx.mdx_to_md(F.lit("<Info>x</Info>\n<Card/>\n\n\ny")).alias("h"),
+        F.size(nx.dates_in(F.lit("13/02/2024, 02/13/2024 and 5 May 2023"), 2024)).alias("g"), F.lit(markup.mdx("<Info>x</Info>\n<Card/>\n\n\ny")).alias("h"),
         tx.file_name(F.lit("\n")).alias("i"), tx.url_title(F.lit("http://a.b/")).alias("j"), nx.mapped(F.lit("P7"), nx.PRIORITY).alias("k"),
     ).first()
-    assert tuple(got) == ("string", None, None, 1704067201000, "a: null", None, 1, "> **Note:**\n>\n> x\n\ny", "file", None, "P7")
+    assert tuple(got) == ("string", None, None, 1704067201000, "a: null", None, 1, "> **Note:**\n>\n> x\n\ny", "file", "a.b", "P7")
     with pytest.raises(ValueError):
         nx.calculate("modulo", F.lit(1), F.lit(2))
 
@@ -115,10 +115,12 @@ def test_nested_projection(spark):
 
 
 def test_citations(spark):
-    a = spark.createDataFrame([("k", "see [1](http://h/record/r1?blockIndex=3) [2](http://u) [3](http://h/record/r9?blockIndex=0)")], "k string, t string")
+    a = spark.createDataFrame([("k", "see [1](http://h/record/r1/preview#blockIndex=3) [2](http://u) [3](http://h/record/r9/preview#blockIndex=0) [4](ref5)")], "k string, t string")
     blocks = spark.createDataFrame([("http://u", "r2", 0, "B"), ("http://v", "r1", 3, "A")], "url string, record_id string, block_index long, block_id string")
-    assert vals(shape.join_citations(shape.citations(a, "k", "t"), blocks).fillna("-", ["block_id"]), "position", "block_id") == [(0, "A"), (1, "B"), (2, "-")]
-    assert vals(shape.unknown_citations(a, "k", "t", blocks.where("record_id = 'r1'")), "url") == [("http://h/record/r9?blockIndex=0",), ("http://u",)]
+    assert vals(shape.join_citations(shape.citations(a, "k", "t"), blocks).fillna("-", ["block_id"]), "position", "block_id") == [(0, "A"), (1, "B"), (2, "-"), (3, "-")]
+    sizes = spark.createDataFrame([("r9", 0)], "record_id string, n_blocks long")
+    assert vals(shape.unknown_citations(a, "k", "t", blocks, sizes), "target") == [("http://h/record/r9/preview#blockIndex=0",), ("ref5",)]
+    assert vals(shape.unknown_citations(a, "k", "t", blocks, sizes.withColumn("n_blocks", F.lit(1))), "target") == [("ref5",)]
 
 
 def test_table_regions():
