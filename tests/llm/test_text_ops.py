@@ -6,6 +6,7 @@ import time
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -122,6 +123,17 @@ def test_pii_many_spans(spark):
     assert time.time() - began < 60
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{D}/documents.parquet'")
+    cur = con.execute(queries.ORACLE[name])
+    names = [c[0] for c in cur.description]
+    got = queries.QUERIES[name](spark, D)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(cur.fetchall())
+
+
 # SimHash
 
 
