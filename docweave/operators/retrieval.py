@@ -88,14 +88,15 @@ def terms(df: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id", query_text: str = "text", point_id: str = "point_id", text: str = "text", k1: float = K1, b: float = B, idf: bool = False, digits: int = 6) -> DataFrame:
     """``query_id, point_id, score, rank`` by saturated term frequency; ``idf`` weighs terms by rarity too (off by default).
 
-    Only the queries' terms leave the tokenizer; document lengths come from the same pass over the texts.
+    Only the queries' terms leave the tokenizer; the mean length comes from a pass that counts words without making them.
     """
     asked = terms(queries, query_id, query_text).select(F.col(query_id).alias("query_id"), "term", F.col("tf").alias("qtf"))
-    words = F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
-    base = docs.select(F.col(point_id).cast("long").alias("point_id"), words.alias("words"))
-    stats = base.agg(F.count("*").alias("n"), F.avg(F.size("words").cast("double")).alias("mean"))
+    whole, word = F.coalesce(F.col(text), F.lit("")), F.lit("[A-Za-z0-9]+")
+    # the mean length needs counts alone, no words
+    stats = docs.agg(F.count("*").alias("n"), F.avg(F.regexp_count(whole, word).cast("double")).alias("mean"))
+    base = docs.select(F.col(point_id).cast("long").alias("point_id"), F.regexp_extract_all(whole, word, F.lit(0)).alias("words"))
     wanted = asked.select("term").distinct()
-    tf = base.select("point_id", F.size("words").alias("len"), F.explode("words").alias("term")).join(wanted, "term", "left_semi")
+    tf = base.select("point_id", F.size("words").alias("len"), F.explode("words").alias("term")).withColumn("term", F.lower("term")).join(wanted, "term", "left_semi")
     tf = tf.groupBy("point_id", "len", "term").agg(F.count("*").alias("tf"))
     # one row, joined by its only key
     tf = tf.withColumn("_one", F.lit(1)).join(stats.withColumn("_one", F.lit(1)), "_one")
