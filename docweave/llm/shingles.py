@@ -5,7 +5,8 @@ least ``UP / DOWN``. Candidates come from prefix filtering, which loses no pair:
 sets of that similarity share a shingle among the first ``n - ceil(n * UP / DOWN) + 1`` of each. Candidates are then
 confirmed by their whole sets.
 
-Equal sets are one to begin with. Each shingle's texts are first compared with the smallest of them, which
+Equal sets are one to begin with. Pairs that a caller has found by other means (``near``) are confirmed first, and texts that they join aren't
+compared again. Each shingle's texts are first compared with the smallest of them, which
 joins large groups of copies at a row a text; only texts still apart are then compared pair by pair. The order puts
 shingles that a sample of texts has often at the end; it decides speed, never results.
 
@@ -15,6 +16,8 @@ wordless texts have the empty set and equal each other. Rows without an id are i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -139,22 +142,32 @@ def _may(a_size, a_pos, b_size, b_pos):
     return _alike(a_size, b_size) & (most * (UP + DOWN) >= (a_size + b_size) * UP)
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, root`` for every row with an id: the smallest id reachable over links of similar texts."""
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``id, root`` for every row with an id: the smallest id reachable over links of similar texts. ``near`` makes pairs ``a, b`` from ``id, text`` and
+    the ``id`` of each distinct set."""
     tune(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     each = materialise(_prefixes(docs), "prefixes")
     reps = materialise(each.groupBy("digest").agg(F.min("id").alias("rep")), "reps")
-    one = each.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id", "digest"])
+    named = reps.select(F.col("rep").alias("id")).distinct()
+    first = None
+    if near is not None:
+        asked = near(docs, named)
+        first = _confirmed(asked, docs)
+        discard(asked)
+    one = each.join(named, "id", "left_semi").dropDuplicates(["id", "digest"])
     # narrow rows, as these are all first shingles of all texts: size and place share a number
     every = one.select("id", "size", F.posexplode("prefix").alias("pos", "h")).select("h", "id", F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
     # only shingles that two texts have
     two = every.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("h")
     rows = shared = materialise(every.join(two, "h", "left_semi").select("h", "id", F.shiftright("at", 32).cast("int").alias("size"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos")), "shared")
-    lead = rows.groupBy("h").agg(F.min(F.struct("id", "size", "pos")).alias("lead"))
-    star = rows.join(lead, "h").where(F.col("id") != F.col("lead.id")).where(_may(F.col("lead.size"), F.col("lead.pos"), F.col("size"), F.col("pos")))
+    known = rows.withColumn("root", F.col("id"))
+    if first is not None:
+        known = rows.join(components(first).select(F.col("node").alias("id"), "root"), "id", "left").select("h", "id", "size", "pos", F.coalesce("root", "id").alias("root"))
+    lead = known.groupBy("h").agg(F.min(F.struct("id", "size", "pos", "root")).alias("lead"))
+    star = known.join(lead, "h").where(F.col("root") != F.col("lead.root")).where(_may(F.col("lead.size"), F.col("lead.pos"), F.col("size"), F.col("pos")))
     star = materialise(star.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct(), "star")
-    edges = _confirmed(star, docs)
+    edges = _confirmed(star, docs) if first is None else first.union(_confirmed(star, docs))
     roots = components(edges).select(F.col("node").alias("id"), "root")
     rows = rows.join(roots, "id", "left").select("h", "id", "size", "pos", F.coalesce("root", "id").alias("root"))
     apart = rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")

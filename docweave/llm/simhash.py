@@ -9,7 +9,9 @@ nodes with equal tops (``fp & mask``), and tops are dealt over the cluster. A to
 fingerprints is split anew by the same argument on its remaining bits, so no link is lost. Each task links
 with union-find and returns a spanning forest, never all pairs of a group.
 
-The pipeline's stage (``keep_one``) doesn't link by these bits but by exact shingle similarity, see ``shingles``.
+The pipeline's stage (``keep_one``) walks the tries with ``NEAR`` bits of budget and confirms each link by the exact similarity of
+shingle sets. Similar texts may differ in more bits than tries can carry, so ``shingles`` completes the links: those of
+the tries join groups before, and only texts still apart are compared there.
 
 Cases: null or empty text has fingerprint 0 and is linked like any other; a row with null doc_id has a fingerprint and a null component. Repeated documents keep a row each.
 Other input columns are ignored. An empty table gives an empty result.
@@ -27,9 +29,11 @@ from pyspark.sql import functions as F
 
 from docweave.llm import kernel, shingles
 from docweave.llm.components import components
-from docweave.llm.scratch import materialise, tune
+from docweave.llm.scratch import discard, materialise, tune
 
 RADIUS, SEED, HOT = 3, 42, 1 << 16
+#: bits of the pipeline's stage, whose links are confirmed
+NEAR = 4
 _LOWER = bytes(kernel.LOWER)
 
 
@@ -75,9 +79,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def trie_forest(fp: np.ndarray, mask: int, radius: int = RADIUS, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+def trie_forest(fp: np.ndarray, mask: int, radius: int = RADIUS, block: int = 1 << 18, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Links among distinct uint64 ``fp`` that agree on ``mask`` and differ in at most ``radius`` bits, as a
-    forest: positions ``i`` and their root's position."""
+    forest: positions ``i`` and their root's position, or with ``pairs`` the positions of linked fingerprints themselves."""
     n = len(fp)
     high = [b for b in range(63, -1, -1) if mask >> b & 1]
     low = [b for b in range(63, -1, -1) if not mask >> b & 1]
@@ -94,6 +98,7 @@ def trie_forest(fp: np.ndarray, mask: int, radius: int = RADIUS, block: int = 1
     some = hi - lo > 1
     lo, hi = lo[some], hi[some]
     ones: dict[int, np.ndarray] = {}
+    used = [(comp[:0], comp[:0])]
 
     def link(i, j):
         """Hook larger roots to smaller ones until every linked pair shares a root."""
@@ -103,6 +108,10 @@ def trie_forest(fp: np.ndarray, mask: int, radius: int = RADIUS, block: int = 1
             if not apart.any():
                 return
             i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            if pairs:  # the link by which each larger root is hooked
+                by = np.lexsort((np.minimum(a, b), np.maximum(a, b)))
+                by = by[np.unique(np.maximum(a, b)[by], return_index=True)[1]]
+                used.append((i[by], j[by]))
             np.minimum.at(comp, np.maximum(a, b), np.minimum(a, b))
             while True:
                 up = comp[comp]
@@ -144,14 +153,18 @@ def trie_forest(fp: np.ndarray, mask: int, radius: int = RADIUS, block: int = 1
             merged = [np.concatenate(p) for p in zip(*parts)]
             if len(merged[0]):
                 stack.append((d + 1, *merged))
+    if pairs:
+        i, j = (np.concatenate(x) for x in zip(*used))
+        return order[i], order[j]
     child = np.flatnonzero(comp != np.arange(n))
     return order[child], order[comp[child]]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """Forest edges ``a, b`` among the ``rep`` longs of distinct ``fp`` within ``radius`` bits."""
+def links(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT, pairs: bool = False, chosen: int = 1) -> DataFrame:
+    """Forest edges ``a, b`` among the ``rep`` longs of distinct ``fp`` within ``radius`` bits; with ``pairs`` each edge is itself within them.
+    Tops are of ``chosen`` blocks, or more for many rows."""
     total = distinct.count()
-    parts = radius + (1 if total <= 1 << 22 else 2 if total <= 1 << 32 else 3)
+    parts = radius + max(chosen, 1 if total <= 1 << 22 else 2 if total <= 1 << 32 else 3)
     masks = _block_masks(list(range(64)), parts, parts - radius)
 
     def dealt(df, choice):
@@ -177,7 +190,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFram
         fp, rep, mask = (np.concatenate(x) for x in zip(*got))
         for m in np.unique(mask):
             own = np.flatnonzero(mask == m)
-            i, root = trie_forest(fp[own].astype(np.int64).view(np.uint64), int(m) & (2**64 - 1), radius)
+            i, root = trie_forest(fp[own].astype(np.int64).view(np.uint64), int(m) & (2**64 - 1), radius, pairs=pairs)
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(rep[own][i]), pa.array(rep[own][root])], ["a", "b"])
 
@@ -193,8 +206,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     return fps.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def near_pairs(docs: DataFrame, ids: DataFrame, radius: int = NEAR) -> DataFrame:
+    """Pairs ``a, b`` within ``radius`` bits that span each group, among the rows of ``id, text`` whose id is in ``ids``."""
+    fps = materialise(fingerprints(docs, "id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), "fps")
+    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    equal = fps.join(distinct, "fp").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    found = materialise(equal.union(links(distinct, radius, pairs=True, chosen=2)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "found")
+    discard(fps, distinct)
+    return found
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest doc_id of their group of near copies, by the similarity of whole sets of word shingles; columns stay,
-    whatever their names. Needs unique doc_id; rows without one stay."""
-    gone = shingles.copies(docs).where("id <> root").select(F.col("id").alias("_gone"))
+    """The documents that are the smallest doc_id of their group of near copies: links of the tries, confirmed by the similarity of whole sets of
+    word shingles, and all further links of that similarity; columns stay, whatever their names. Needs unique doc_id; rows without one stay."""
+    gone = shingles.copies(docs, near=near_pairs).where("id <> root").select(F.col("id").alias("_gone"))
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

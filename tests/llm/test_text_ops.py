@@ -254,6 +254,35 @@ def test_near_copies_are_complete(spark, docs, monkeypatch):
     assert set(by_id(simhash.keep_one(df))) == {i for i, r in want.items() if i == r}
 
 
+def test_stage_walks_the_tries(spark, docs, monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = {d["doc_id"]: d["text"] for d in docs}
+    for k in range(40):  # long texts with one changed word: fingerprints a few bits apart
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        texts[40_000 + 2 * k] = " ".join(words)
+        words[int(rng.integers(300))] = "new"
+        texts[40_001 + 2 * k] = " ".join(words)
+    fps = {i: fingerprint(t) for i, t in texts.items()}
+    want = similar_groups(texts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    walked, confirmed = [], []
+    walk, confirm = simhash.trie_forest, shingles._confirmed
+    monkeypatch.setattr(simhash, "near_pairs", lambda *args, near=simhash.near_pairs: walked.append(near(*args).cache()) or walked[0])
+    monkeypatch.setattr(shingles, "_confirmed", lambda *args: confirmed.append(confirm(*args)) or confirmed[-1])
+    assert set(by_id(simhash.keep_one(df))) == {i for i, r in want.items() if i == r}
+    pairs = {(r["a"], r["b"]) for r in walked[0].collect()}
+    assert all(a < b and (fps[a] ^ fps[b]).bit_count() <= simhash.NEAR for a, b in pairs)
+    # the tries span what is within their budget
+    grouped = classes({i: fps[i] for i in {x for p in pairs for x in p}}, simhash.NEAR)
+    first = {(r["a"], r["b"]) for r in confirmed[0].collect()}
+    assert len(pairs) >= len(grouped) - len(set(grouped.values()))
+    assert first <= pairs and sum(a >= 40_000 for a, _ in first) >= 30
+    # pairs of trie_forest are linked themselves, and join what roots join
+    fp = np.array(sorted(set(fps.values())), np.uint64)
+    i, j = walk(fp, 0, simhash.NEAR, pairs=True)
+    assert (np.bitwise_count(fp[i] ^ fp[j]) <= simhash.NEAR).all() and len(i) == len(walk(fp, 0, simhash.NEAR)[0])
+
+
 # passages
 
 
