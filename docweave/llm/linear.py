@@ -70,8 +70,8 @@ def bucket_of(id_col: str, parts: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, label_cols: list[str], sample: int = SAMPLE) -> list[tuple]:
-    """At most ``sample`` rows of (labels, buckets, values), collected: the bound is on rows, a row holds at most a text's
+def _labelled(docs: DataFrame, labels: DataFrame, label_cols: list[str], sample: int) -> DataFrame:
+    """At most ``sample`` rows of an order, labels, buckets and values: the bound is on rows, a row holds at most a text's
     distinct n-grams. Rows without a label, without a document, or with null labels don't count; several labels
     of one document are averaged, and of documents that share an id one counts, that of the smallest text."""
     tune(docs.sparkSession)
@@ -94,10 +94,33 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label_cols: list[str],
                     ["o", "y", "i", "x"],
                 )
 
-    got = rows.mapInArrow(run, "o long, y array<double>, i binary, x binary").collect()
-    got.sort(key=lambda r: (r["o"], bytes(r["i"])))
-    # views of what was collected; wider numbers are made a row at a time
-    return [(r["y"], np.frombuffer(r["i"], np.int32), np.frombuffer(r["x"], np.float32)) for r in got]
+    return rows.mapInArrow(run, "o long, y array<double>, i binary, x binary")
+
+
+def _in_order(got: list[tuple]) -> list[tuple]:
+    """Rows of (labels, buckets, values) as views of rows of ``_labelled``; wider numbers are made a row at a time."""
+    return [(y, np.frombuffer(i, np.int32), np.frombuffer(x, np.float32)) for _, y, i, x in sorted(got, key=lambda r: (r[0], bytes(r[2])))]
+
+
+def labelled_features(docs: DataFrame, labels: DataFrame, label_cols: list[str], sample: int = SAMPLE) -> list[tuple]:
+    """The rows of (labels, buckets, values) that models are fitted on, collected."""
+    return _in_order(_labelled(docs, labels, label_cols, sample).collect())
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_cols: list[str], sample: int = SAMPLE) -> list[tuple[np.ndarray, float]]:
+    """Weights and bias for each label. One task holds the bounded sample and fits them; the driver gets the weights alone."""
+
+    def run(batches):
+        got = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        if got:
+            rows = _in_order(got)
+            for k in range(len(label_cols)):
+                w, bias = ftrl([(y[k], i, x) for y, i, x in rows])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([w.tobytes()], pa.binary()), pa.array([bias])], ["k", "w", "bias"])
+
+    found = _labelled(docs, labels, label_cols, sample).repartition(1).mapInArrow(run, "k int, w binary, bias double").collect()
+    models = {r["k"]: (np.frombuffer(bytes(r["w"]), np.float32), r["bias"]) for r in found}
+    return [models[k] if models else ftrl([]) for k in range(len(label_cols))]
 
 
 def scores(docs: DataFrame, models: list[tuple[np.ndarray, float]], text_col: str = "text", whole: bool = False) -> DataFrame:

@@ -35,8 +35,7 @@ def _models(docs: DataFrame, labels: DataFrame, sample: int) -> list:
         F.when(F.expr("toxic = 1"), 1).otherwise(0).alias("toxic"),
         F.when(F.expr("quality = 0 and toxic = 0"), 1).otherwise(0).alias("junk"),
     )
-    rows = linear.labelled_features(docs, known, list(DOMAINS), sample)
-    return [linear.ftrl([(y[k], i, x) for y, i, x in rows]) for k in range(len(DOMAINS))]
+    return linear.fit(docs, known, list(DOMAINS), sample)
 
 
 def _shares() -> list:

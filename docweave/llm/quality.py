@@ -17,8 +17,7 @@ FOLDS, KEEP_AT = 5, 0.3
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = linear.SAMPLE):
     learn = labels.where(linear.bucket_of("doc_id", FOLDS) != 0)
-    rows = linear.labelled_features(docs, learn, ["quality"], sample)
-    return linear.ftrl([(y[0], i, x) for y, i, x in rows])
+    return linear.fit(docs, learn, ["quality"], sample)[0]
 
 
 def score(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:

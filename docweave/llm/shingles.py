@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm import kernel
-from docweave.llm.components import components
+from docweave.llm.components import FEW, components
 from docweave.llm.scratch import discard, materialise, tune
 
 WIDTH, UP, DOWN = 5, 4, 5
@@ -163,12 +163,12 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near
     rows = shared = materialise(every.join(two, "h", "left_semi").select("h", "id", F.shiftright("at", 32).cast("int").alias("size"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos")), "shared")
     known = rows.withColumn("root", F.col("id"))
     if first is not None:
-        known = rows.join(components(first).select(F.col("node").alias("id"), "root"), "id", "left").select("h", "id", "size", "pos", F.coalesce("root", "id").alias("root"))
+        known = rows.join(components(first, FEW).select(F.col("node").alias("id"), "root"), "id", "left").select("h", "id", "size", "pos", F.coalesce("root", "id").alias("root"))
     lead = known.groupBy("h").agg(F.min(F.struct("id", "size", "pos", "root")).alias("lead"))
     star = known.join(lead, "h").where(F.col("root") != F.col("lead.root")).where(_may(F.col("lead.size"), F.col("lead.pos"), F.col("size"), F.col("pos")))
     star = materialise(star.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct(), "star")
     edges = _confirmed(star, docs) if first is None else first.union(_confirmed(star, docs))
-    roots = components(edges).select(F.col("node").alias("id"), "root")
+    roots = components(edges, FEW).select(F.col("node").alias("id"), "root")
     rows = rows.join(roots, "id", "left").select("h", "id", "size", "pos", F.coalesce("root", "id").alias("root"))
     apart = rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
     left = materialise(rows.join(apart, "h", "left_semi"), "apart")
@@ -181,5 +181,5 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near
     rest = rest.where(most * (UP + DOWN) >= (F.col("x_size") + F.col("y_size")) * UP)
     rest = materialise(rest.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")), "rest")
     discard(left)
-    roots = components(edges.union(_confirmed(rest, docs))).select(F.col("node").alias("rep"), "root")
+    roots = components(edges.union(_confirmed(rest, docs)), FEW).select(F.col("node").alias("rep"), "root")
     return each.select("id", "digest").join(reps, "digest").join(roots, "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docweave.llm import hmm, leaks, linear, mixing, passages, pii, quality, queries, shingles, simhash
+from docweave.llm import components, hmm, leaks, linear, mixing, passages, pii, quality, queries, shingles, simhash
 
 D = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -559,3 +559,36 @@ def test_leaks_recall_of_paraphrases(spark):
 
 def test_common_subsequence():
     assert leaks.common([1, 2, 3, 4], [9, 1, 3, 8, 4]) == 3 and leaks.common([1], []) == 0
+
+
+def test_models_are_fitted_in_a_task(spark, empty, monkeypatch):
+    """The driver gets weights, not the sample's features; they are those of the collected sample, bit for bit."""
+    table, labels = (spark.read.parquet(f"{D}/{t}.parquet") for t in ("documents", "labels"))
+    rows = linear.labelled_features(table, labels, ["quality", "toxic"], 100)
+    want = [linear.ftrl([(y[k], i, x) for y, i, x in rows]) for k in range(2)]
+    monkeypatch.setattr(linear, "labelled_features", lambda *args: pytest.fail("features were collected"))
+    got = linear.fit(table, labels, ["quality", "toxic"], 100)
+    assert len(rows) > 50 and want[0][0].any() and all((w == v).all() and a == b for (w, a), (v, b) in zip(got, want))
+    w, bias = quality.fit(empty, labels)
+    assert not w.any() and bias == 0 and len(mixing._models(empty, labels, 100)) == 3
+    assert quality.fit(table, labels)[0].any()
+
+
+def test_short_edge_lists_take_one_task(spark):
+    """The same components as by rounds, without the rounds' hundreds of tasks in the driver's books."""
+    rng = np.random.default_rng(5)
+    edges = [*rng.integers(0, 900, (500, 2)).tolist(), [7, 7], [5000, 5000], *([i + 1, i] for i in range(2000, 2100)), *([3000, i] for i in range(2990, 3200))]
+    df = spark.createDataFrame(edges + edges[:50], "a long, b long")
+    began = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    at_once = sorted(map(tuple, components.components(df, len(edges) + 50).collect()))
+    assert spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs() - began <= 5
+    assert at_once == sorted(map(tuple, components.components(df).collect())) == sorted(map(tuple, components.components(df, 10).collect()))
+    assert components.components(df.where("a < 0"), 10).count() == 0
+
+
+def test_near_copies_take_few_jobs(spark):
+    """Each round of the near-duplicate stage's three component searches was some ten jobs."""
+    df = spark.read.parquet(f"{D}/documents.parquet")
+    began = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    simhash.keep_one(df).count()
+    assert spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs() - began < 88
