@@ -2,12 +2,14 @@
 
 A vector is approximated by a sum of one codeword from each of ``BOOKS`` full-dimensional codebooks. Codebooks are learned
 on residuals of a bounded sample; codes are found by beam search; each vector's norm is stored, as the ratio that
-stretches its approximation to its true length. Every row is indexed. The first code is also the row's cell, of which there are as many as
-the square root of the number of rows (at most ``CELLS``). A query looks into its cells of largest inner product; how many is the least
-number that finds ``FOUND`` of the sample's own nearest neighbours, so it is small where vectors lie in clusters, and most of the cells where
-they don't. Rows are scored by table look-ups, and the best ``RERANK`` of each block are ranked again with the original vectors in double precision.
+stretches its approximation to its true length, and so is the length of what the approximation misses. Every row is indexed. The first code is also
+the row's cell, of which there are as many as the square root of the number of rows (at most ``CELLS``).
 
-Cells are split into blocks of about ``BLOCK`` rows, and a cell's queries into blocks of ``ASKED``, so a hot cell is many tasks. Cases: vectors that
+No neighbour is lost, whatever the rows are: a query's ``k``-th best score among sampled rows bounds what its neighbours score. It looks into each block of cells that
+may hold such a row (its product with the cell's codeword, and the cell's radius times its length, reach the bound), and there scores by table look-ups; rows whose look-up and miss reach the
+bound are scored with the original vectors in double precision. Where vectors lie in clusters that is few blocks and rows; where they don't, it is most of them.
+
+Cells that lie together make blocks of at most ``BLOCK`` rows, larger cells are split, and a block's queries are taken by ``ASKED``, so a hot cell is many tasks. Cases: vectors that
 are null, zero, or that hold null or non-finite components take no part; vectors of different lengths are searched apart; equal vectors have equal
 codes and ties go to the smaller id; equal rows count once, and rows that share an id are one item, with its best score; with no vectors the result is empty.
 """
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 from docweave.llm.scratch import materialise, tune
 
 BOOKS, WORDS, CELLS, BEAM, SAMPLE = 12, 64, 4096, 4, 16_384
-FOUND, RERANK, BLOCK, ASKED = 0.96, 64, 8192, 32_768
+FOUND, BLOCK, ASKED = 0.96, 8192, 32_768
+#: sampled numbers that bound the scores; what single precision may be off, as a share of the lengths; pairs scored at once
+BOUND, LOOSE, PAIRS = 1 << 20, 1e-5, 1 << 16
 
 
 class Codebooks:
@@ -63,11 +67,26 @@ class Codebooks:
         approx = x - rest[:, 0]
         return codes[:, 0], np.linalg.norm(x, axis=1) / np.maximum(np.linalg.norm(approx, axis=1), 1e-12)
 
-    def tables(self, q: np.ndarray) -> list[np.ndarray]:
-        return [q @ c.T for c in self.books]
+    def missed(self, x: np.ndarray, codes: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row at most how far its stretched approximation, and its cell's codeword, are from it."""
+        x, length = x.astype(np.float64), 0.0
+        approx = np.zeros_like(x)
+        for m, c in enumerate(self.books):
+            word = c[codes[:, m]].astype(np.float64)
+            approx, length = approx + word, length + np.linalg.norm(word, axis=1)
+        slack = LOOSE * (np.linalg.norm(x, axis=1) + ratio * length)
+        return np.linalg.norm(x - approx * ratio[:, None], axis=1) + slack, np.linalg.norm(x - self.books[0][codes[:, 0]], axis=1) + slack
+
+    def looked_up(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Rows by queries: products with the sums of the rows' codewords."""
+        total = np.zeros((len(codes), len(q)), np.float32)
+        for m, c in enumerate(self.books):
+            own, at = np.unique(codes[:, m], return_inverse=True)
+            total += (c[own].astype(np.float64) @ q.T).astype(np.float32)[at]
+        return total
 
     def probes(self, x: np.ndarray, k: int, found: float = FOUND, asked: int = 256) -> int:
-        """The least number of cells that hold ``found`` of the ``k`` nearest rows of ``x`` to its own first rows."""
+        """How far apart the rows are: the least number of cells that hold ``found`` of the ``k`` nearest rows of ``x`` to its own first rows. No search depends on it."""
         q, cells = x[:asked], self.books[0]
         score = q @ x.T
         score[np.arange(len(q)), np.arange(len(q))] = -np.inf
@@ -89,7 +108,24 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return v.where("id is not null and v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, probes: int | None = None, rerank: int = RERANK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def packed(place: np.ndarray, rows: np.ndarray, most: int) -> list[np.ndarray]:
+    """The cells at ``place`` in groups of at most ``most`` rows, or single cells; neighbours stay together."""
+    todo, done = [np.arange(len(place))], []
+    while todo:
+        own = todo.pop()
+        if len(own) == 1 or rows[own].sum() <= most:
+            done.append(own)
+            continue
+        x = place[own].astype(np.float64)
+        x = x - x.mean(0)
+        along = own[np.argsort(x @ np.linalg.eigh(x.T @ x)[1][:, -1], kind="stable")]
+        half = np.searchsorted(np.cumsum(rows[along]), rows[along].sum() / 2)
+        half = min(max(int(half), 1), len(along) - 1)
+        todo += [along[half:], along[:half]]
+    return done
+
+
+def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row whose id is divisible by ``every`` its ``k`` nearest other rows."""
     spark = vectors.sparkSession
     tune(spark)
@@ -100,7 +136,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, probes: int | None
     for r in kinds:
         # codes are in single precision: very large or small numbers are scaled
         scale = 1.0 if 1e-9 < r["largest"] < 1e9 else 1 / max(r["largest"], 1e-300)
-        some = _within(v.where(F.size("v") == r["dim"]), r["dim"], r["n"], scale, k, every, probes, rerank)
+        some = _within(v.where(F.size("v") == r["dim"]), r["dim"], r["n"], scale, k, every)
         found = some if found is None else found.union(some)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -109,43 +145,62 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, probes: int | None
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _within(v: DataFrame, dim: int, n: int, scale: float, k: int, every: int, probes: int | None, rerank: int) -> DataFrame:
+def _within(v: DataFrame, dim: int, n: int, scale: float, k: int, every: int) -> DataFrame:
     """The same among vectors of one length; blocks' best, not ranked yet."""
     spark, kind = v.sparkSession, dict(v.dtypes)["v"]
-    sample = v.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
-    small = (_matrix(sample.column(0).combine_chunks(), dim) * scale).astype(np.float32)
+    sample = v.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "v").toArrow()
+    small = (_matrix(sample.column(1).combine_chunks(), dim) * scale).astype(np.float32)
     index = Codebooks.fit(small, min(CELLS, max(1, round(n**0.5))))
-    look = probes or index.probes(small, k)
-    shared = spark.sparkContext.broadcast(index)
+    some, at = np.unique(sample.column(0).to_numpy()[: max(BOUND // dim, 16 * k)], return_index=True)
+    shared, known = spark.sparkContext.broadcast(index), spark.sparkContext.broadcast((some, small[at]))
     books, cells = len(index.books), len(index.books[0])
 
     def scaled(column):
-        return (_matrix(column, dim) * scale).astype(np.float32)
+        return _matrix(column, dim) * scale
 
     def encoded(batches):
         for b in batches:
-            codes, ratio = shared.value.encode(scaled(b.column(1))) if b.num_rows else (np.zeros((0, books), np.int16), np.zeros(0))
+            x = scaled(b.column(1)).astype(np.float32)
+            codes, ratio = shared.value.encode(x) if b.num_rows else (np.zeros((0, books), np.int16), np.zeros(0))
+            miss, away = shared.value.missed(x, codes, ratio.astype(np.float32))
             flat = pa.array([c.tobytes() for c in codes], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes[:, 0].astype(np.int32)), flat, pa.array(ratio.astype(np.float32))], ["id", "v", "cell", "code", "ratio"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes[:, 0].astype(np.int32)), flat, pa.array(ratio.astype(np.float32)), pa.array(miss), pa.array(away)], ["id", "v", "cell", "code", "ratio", "miss", "away"])
+
+    rows = materialise(v.mapInArrow(encoded, f"id long, v {kind}, cell int, code binary, ratio float, miss double, away double"), "codes")
+    size, radius = np.zeros(cells, np.int64), np.full(cells, -np.inf)
+    for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("away")).collect():
+        size[r["cell"]], radius[r["cell"]] = r["n"], r["away"]
+    # cells of a block, and of each cell its first block and how many it fills
+    groups = packed(index.books[0], size, BLOCK)
+    fills = [max(1, -(-int(size[g].sum()) // BLOCK)) for g in groups]
+    first, many, begin = np.zeros(cells, np.int64), np.ones(cells, np.int64), 0
+    for g, m in zip(groups, fills):
+        first[g], many[g], begin = begin, m, begin + m
 
     def probed(batches):
+        centre, (ids, x) = shared.value.books[0].astype(np.float64), known.value
+        length = np.linalg.norm(x.astype(np.float64), axis=1)
         for b in batches:
-            best = np.argsort(-(scaled(b.column(1)) @ shared.value.books[0].T), 1, kind="stable")[:, :look].astype(np.int32)
-            offs = pa.array(np.arange(0, best.size + 1, best.shape[1], dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offs, pa.array(best.ravel()))], ["id", "v", "cells"])
-
-    rows = materialise(v.mapInArrow(encoded, f"id long, v {kind}, cell int, code binary, ratio float"), "codes")
-    asked = v.where(F.col("id") % every == 0).mapInArrow(probed, f"id long, v {kind}, cells array<int>").select("id", "v", F.explode("cells").alias("cell"))
+            q = scaled(b.column(1))
+            norm = np.linalg.norm(q, axis=1)
+            least = np.full(len(q), -np.inf)
+            if len(ids) > k and len(q):
+                score = (q.astype(np.float32) @ x.T).astype(np.float64) - LOOSE * norm[:, None] * length
+                score[b.column(0).to_numpy()[:, None] == ids] = -np.inf
+                least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
+            reach = q @ centre.T + norm[:, None] * (radius + LOOSE * np.linalg.norm(centre, axis=1)) >= least[:, None]
+            into = [np.concatenate([np.arange(first[g[0]], first[g[0]] + many[g[0]]) for g in groups if r[g].any()] or [np.zeros(0, np.int64)]).astype(np.int32) for r in reach & (size > 0)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(least), pa.array(into, pa.list_(pa.int32()))], ["id", "v", "least", "blocks"])
+
+    asked = v.where(F.col("id") % every == 0).mapInArrow(probed, f"id long, v {kind}, least double, blocks array<int>").select("id", "v", "least", F.explode("blocks").alias("block"))
     asked = materialise(asked, "asked")
-
-    def cuts(df, block):
-        size = {r["cell"]: r["count"] for r in df.groupBy("cell").count().collect()}
-        return F.element_at(F.array(*[F.lit(-(-size.get(c, 0) // block) or 1) for c in range(cells)]), F.col("cell") + 1)
-
-    row_cuts, asked_cuts = cuts(rows, BLOCK), cuts(asked, ASKED)
-    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    rows = rows.withColumn("rb", F.pmod(F.xxhash64("id"), row_cuts).cast("int")).withColumn("qb", spread(asked_cuts))
-    asked = asked.withColumn("qb", F.pmod(F.xxhash64("id"), asked_cuts).cast("int")).withColumn("rb", spread(row_cuts))
+    hot = asked.groupBy("block").count().where(F.col("count") > ASKED).select("block", F.ceil(F.col("count") / ASKED).cast("int").alias("cuts"))
+    hot = [tuple(r) for r in hot.collect()]
+    in_cuts = lambda df: df.join(spark.createDataFrame(hot, "block int, cuts int"), "block", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    of = lambda values: F.element_at(F.array(*[F.lit(int(x)) for x in values]), F.col("cell") + 1)
+    rows = rows.withColumn("block", (of(first) + F.pmod(F.xxhash64("id"), of(many))).cast("int"))
+    rows = in_cuts(rows).select("id", "v", "code", "ratio", "miss", "block", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("qb"))
+    asked = in_cuts(asked).select("id", "v", "least", "block", F.pmod(F.xxhash64("id"), "cuts").cast("int").alias("qb"))
 
     def single(table):
         """Ids in order, their vectors, and which rows these are; equal rows once."""
@@ -159,24 +214,41 @@ def _within(v: DataFrame, dim: int, n: int, scale: float, k: int, every: int, pr
         out = []
         if left.num_rows and right.num_rows:
             ids, x, at = single(left)
-            qid, q, _ = single(right)
+            qid, q, own = single(right)
             codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.int16).reshape(-1, books)[at]
-            ratio = left.column("ratio").to_numpy()[at]
+            ratio, miss = left.column("ratio").to_numpy()[at, None], left.column("miss").to_numpy()[at, None].astype(np.float32)
+            bound, apart = right.column("least").to_numpy()[own], (ids[1:] != ids[:-1]).all()
+            wide, length = (x if scale == 1 else x * scale), np.linalg.norm(x * scale, axis=1)[:, None]
             for a in range(0, len(qid), 256):
-                part = q[a : a + 256]
-                near = (sum(t[:, codes[:, m]] for m, t in enumerate(shared.value.tables((part * scale).astype(np.float32)))) * ratio).astype(np.float64)
-                # equal codes are told apart by their place, that is by id
-                near -= np.arange(len(ids)) * (np.abs(near).max() * 1e-12)
-                near[qid[a : a + 256, None] == ids] = -np.inf
-                top = np.argpartition(-near, rerank, 1)[:, :rerank] if rerank < len(ids) else np.broadcast_to(np.arange(len(ids)), near.shape)
-                exact = np.einsum("qd,qrd->qr", part, x[top])
-                exact[np.take_along_axis(near, top, 1) == -np.inf] = -np.inf
-                order = np.lexsort((ids[top], -exact), axis=1)[:, :k]
-                score = np.take_along_axis(exact, order, 1)
-                ok = score > -np.inf
-                out.append((np.broadcast_to(qid[a : a + 256, None], ok.shape)[ok], ids[np.take_along_axis(top, order, 1)][ok], score[ok]))
+                part, asks = q[a : a + 256], qid[a : a + 256]
+                least, norm = bound[a : a + 256], np.linalg.norm(part * scale, axis=1)
+                may = shared.value.looked_up(part * scale, codes) * ratio + miss * norm.astype(np.float32) * np.float32(1 + LOOSE) >= least - LOOSE * np.abs(least)
+                may &= ids[:, None] != asks
+                near, want = np.flatnonzero(may.any(1)), may.sum(0) > 4 * k
+                if want.any():
+                    # many are left: products in double precision, and no more than the block's own best
+                    score = np.where(may[near], wide[near] @ (part * scale).T, -np.inf)
+                    slack = 1e-9 * norm * length[near]
+                    if apart and len(near) > k:
+                        least = np.maximum(least, np.partition(score - slack, len(near) - k, axis=0)[len(near) - k])
+                    may[near] = score + slack >= least
+                    may[near] &= score > -np.inf
+                row, col = np.nonzero(may)
+                exact = np.concatenate([np.einsum("pd,pd->p", part[col[p : p + PAIRS]], x[row[p : p + PAIRS]]) for p in range(0, len(row), PAIRS)] or [np.zeros(0)])
+                if not apart:
+                    # an id has its best score
+                    order = np.lexsort((-exact, ids[row], col))
+                    row, col, exact = row[order], col[order], exact[order]
+                    new = np.ones(len(row), bool)
+                    new[1:] = (ids[row][1:] != ids[row][:-1]) | (col[1:] != col[:-1])
+                    row, col, exact = row[new], col[new], exact[new]
+                order = np.lexsort((ids[row], -exact, col))
+                row, col, exact = row[order], col[order], exact[order]
+                rank = np.arange(len(col)) - np.searchsorted(col, col)
+                ok = (rank < k) & (exact > -np.inf)
+                out.append((asks[col[ok]], ids[row[ok]], exact[ok]))
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
 
-    by = ["cell", "rb", "qb"]
+    by = ["block", "qb"]
     return rows.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(scan, "query_id long, vec_id long, score double")

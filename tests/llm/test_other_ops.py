@@ -106,6 +106,19 @@ def test_ann_cells_follow_clusters():
     assert share[0] < 0.1 < share[1] <= 1
 
 
+def test_ann_loses_no_neighbour(spark):
+    rng = np.random.default_rng(5)
+    centre, n = rng.normal(size=(40, 64)), 6000
+    x = (centre[rng.integers(0, 40, n)] + 0.05 * rng.normal(size=(n, 64))).astype(np.float32)
+    x[::20] = rng.normal(size=(n // 20, 64))  # queries lie elsewhere than the rows
+    got = ann.search(spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<float>")).collect()
+    mine = {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in range(0, n, 400)}
+    for q, found in mine.items():
+        s = np.einsum("nd,d->n", x.astype(np.float64), x[q].astype(np.float64))
+        s[q] = -np.inf
+        assert found == np.lexsort((np.arange(n), -s))[:20].tolist()
+
+
 def test_ann_edges(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (20, [float("inf"), 1.0])]
     v = spark.createDataFrame(rows + [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>").withColumn("cell", F.lit(1))
