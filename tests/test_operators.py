@@ -162,6 +162,13 @@ def test_sql_surface(spark):
     assert sqltables.ddl(spark.range(1), "t").startswith("CREATE TABLE t (\n  `id` bigint NOT NULL")
 
 
+def test_feed_items_of_shared_links(spark, tmp_path):
+    from docweave import plans
+
+    spark.createDataFrame([(1, "u"), (2, "u"), (2, "u"), (3, ""), (4, None), (5, "v")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert vals(plans.load()[0]["feed_items"](spark, str(tmp_path)), "page_id", "url") == [(1, "u"), (2, "u"), (3, ""), (5, "v")]
+
+
 def test_feed_and_routes(spark):
     df = spark.createDataFrame([("f", 1, "u", None, "", "s", "t"), ("f", 2, "u", "c", "", "s", "t"), ("f", 3, "v", "c", "", "s", "t")], "feed string, position int, link string, content string, crawled string, summary string, title string")
     assert vals(formats.feed_entries(df, spark.createDataFrame([("v",)], "link string"), 5), "link", "body") == [("u", "s")]
