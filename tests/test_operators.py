@@ -1,5 +1,6 @@
 """Hand-written cases for what SQL can't express, and for edge cases of the operators."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,19 @@ def test_dense_ties_nulls_and_empty(spark):
     assert retrieval.bm25(q.where("false").select("query_id", F.lit("a").alias("text")), p.select("point_id", F.lit("a").alias("text")), 3).count() == 0
 
 
+def test_dense_reads_points_once_in_tiles(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(5000, 8)).round(1)
+    x[1000:2000] = x[0]  # equal points go by id
+    p = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "point_id long, vector array<double>")
+    got = retrieval.dense(p.where("point_id % 4 = 0").withColumnRenamed("point_id", "query_id"), p, 5)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # 1,250 queries
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    score = np.round(unit[::4] @ unit.T, 6)
+    best = np.argsort(-score, axis=1, kind="stable")[:, :5]
+    assert vals(got, "query_id", "rank", "point_id") == [(4 * q, r + 1, i) for q, row in enumerate(best.tolist()) for r, i in enumerate(row)]
+
+
 def test_boxes_ranges_headers(spark):
     b = spark.createDataFrame([(1, 10.0, 20.0, 50.0, 60.0), (1, 30.0, 10.0, 100.0, 80.0)], "g int, x0 double, y0 double, x1 double, y1 double")
     assert [tuple(c) for c in aggregates.box_union(b, ["g"]).first()["corners"]] == [(10, 10), (100, 10), (100, 80), (10, 80)]
