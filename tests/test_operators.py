@@ -92,6 +92,24 @@ def test_dense_reads_points_once_in_tiles(spark):
     assert vals(got, "query_id", "rank", "point_id") == [(4 * q, r + 1, i) for q, row in enumerate(best.tolist()) for r, i in enumerate(row)]
 
 
+def test_sparse_search_scores_in_tasks(spark, tmp_path):
+    import duckdb
+
+    from docweave import plans
+
+    rows = [(1, "Alpha beta, beta"), (1, "beta gamma"), (2, "alpha \u00e9alpha \u212aappa gamma"), (3, None), (4, ""), (5, "other words only"), (6, "GAMMA-alpha")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "alpha Beta beta"), (8, "gamma"), (9, "absent"), (10, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    queries, oracle = plans.load()
+    got = queries["search_bm25_topk"](spark, str(tmp_path))
+    assert vals(got, "query_id", "point_id", "score", "rank") == sorted(con.execute(oracle["search_bm25_topk"]).fetchall())
+    # pairs of queries and points aren't shuffled, only each task's best
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") <= 1
+
+
 def test_boxes_ranges_headers(spark):
     b = spark.createDataFrame([(1, 10.0, 20.0, 50.0, 60.0), (1, 30.0, 10.0, 100.0, 80.0)], "g int, x0 double, y0 double, x1 double, y1 double")
     assert [tuple(c) for c in aggregates.box_union(b, ["g"]).first()["corners"]] == [(10, 10), (100, 10), (100, 80), (10, 80)]
